@@ -22,7 +22,7 @@ CHUNK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _MULT = np.random.default_rng(20).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE = np.random.default_rng(19).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE = np.random.default_rng(19).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 
 
@@ -77,10 +77,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.nd
     return first, last, np.searchsorted(offsets, first, "right") - 1
 
 
-def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(n, 1)[:n], out=total[1:])
+    np.cumsum(_BYTE[which][data] * _power(n, 1)[:n], out=total[1:])
     return mix((total[last] - total[first]) * _power(n + 1, -1)[first] + (last - first).astype(np.uint64))
 
 
