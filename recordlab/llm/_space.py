@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordlab.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -28,7 +30,7 @@ class Workspace:
     """Tables of one operator call, in a folder of its own below :func:`shared_dir`."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = ship(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:

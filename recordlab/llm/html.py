@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlab.session import ship
+
 # Elements by their role in a page's tree.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -342,7 +344,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     a block one space.  Null, empty and blank pages give an empty text.  Columns called text or n_chars are replaced.
     Without a ``field`` one is trained on invented labelled pages, the same each time.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(field or trained())
+    sent = ship(pages.sparkSession).sparkContext.broadcast(field or trained())
     pages = pages.drop("text", "n_chars").withColumn("html", F.col("html").cast("string"))
     schema = pages.drop("html").schema.add("text", "string").add("n_chars", "long")
     return pages.mapInArrow(_extract(sent, pages.columns.index("html"), schema.names), schema)

@@ -13,6 +13,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from recordlab.session import ship
+
 #: Segments that a worker remembers, longest segment that is merged in a table, texts that are handled together.
 REMEMBERED, LONGEST, TOGETHER = 400_000, 32, 512
 NEVER = np.iinfo(np.int32).max
@@ -230,7 +232,7 @@ def encode(docs: DataFrame, model_path: str, digest: bool = False) -> DataFrame:
     library's encoding within its Arrow batch; a difference is an error.
     """
     with open(model_path, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+        model = ship(docs.sparkSession).sparkContext.broadcast(f.read())
     tail = [("n_tokens", "long"), *([("ids_sha256", "string"), ("decoded_sha256", "string")] if digest else [("ids", "array<int>"), ("decoded", "string")])]
     docs = docs.drop(*[name for name, _ in tail])
     schema = docs.schema

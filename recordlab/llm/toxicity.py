@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlab.session import ship
+
 from ._text import LOWER, chunks, span_hashes, spans
 
 #: Neutral names of groups, by language; the swaps stay within a language.
@@ -173,16 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row; only the text is read.  Null and empty texts score as texts without words."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession).sparkContext.broadcast(model)
     keep = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return keep.mapInArrow(_score(sent), f"doc_id {keep.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` less the rows that score 0.5 or more; all columns stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("score", "double")
+    sent = ship(docs.sparkSession).sparkContext.broadcast(model)
     names = [f.name for f in docs.schema if f.name != "score"]
     scored = docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(_score(sent), docs.select(*names).schema.add("score", "double"))
-    del schema
     return scored.where("score < 0.5").drop("score")

@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlab.session import ship
+
 from ._space import Workspace
 
 #: Bytes of records in a frame and in a bundle, compression level.
@@ -168,6 +170,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     The first two figures are of the full payload, for revisits too; a revisit's payload is null.  Each frame is found
     by the seek table.  A response whose payload does not match its digest is an error.
     """
+    ship(bundles.sparkSession)
     return bundles.select("data").mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
