@@ -150,7 +150,7 @@ def _ask(common, shards: int, min_chars: int):
                 text, _, x, y = _keys(data, offsets, min_chars)
                 one = _once(y, x, text)
                 one = one[~_in(known, x[one], y[one])]
-                yield pa.RecordBatch.from_arrays([pa.array((x[one] % np.uint64(shards)).astype(np.int64)), pa.array(x[one].view(np.int64)), pa.array(y[one].view(np.int64)), batch.column(0).take(pa.array(text[one] + row))], ["shard", "x", "y", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[one].view(np.int64) % shards), pa.array(x[one].view(np.int64)), pa.array(y[one].view(np.int64)), batch.column(0).take(pa.array(text[one] + row))], ["shard", "x", "y", "doc_id"])
 
     return run
 
@@ -248,8 +248,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     table = PerfectHash.build(xs, ys)
     place = np.argsort(table.index(xs, ys))
     common = spark.sparkContext.broadcast((table, xs[place], ys[place]))
-    unsigned = F.col("x").cast("decimal(20,0)") + F.when(F.col("x") < 0, F.lit(2**64)).otherwise(F.lit(0)).cast("decimal(20,0)")
-    dealt = counts.withColumn("shard", (unsigned % shards).cast("long")).select("shard", "x", "y", "c")
+    dealt = counts.select(F.pmod("x", F.lit(shards)).cast("long").alias("shard"), "x", "y", "c")
     arrays = space.put(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, levels binary, rest binary, prints binary, counts binary"), "arrays")
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.select("doc_id", "text").mapInArrow(_ask(common, shards, min_chars), f"shard long, x long, y long, doc_id {kind}")

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from recordlab.session import ship
 
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, model_path: str, digest: bool = False) -> DataFrame:
         model = ship(docs.sparkSession).sparkContext.broadcast(f.read())
     tail = [("n_tokens", "long"), *([("ids_sha256", "string"), ("decoded_sha256", "string")] if digest else [("ids", "array<int>"), ("decoded", "string")])]
     docs = docs.drop(*[name for name, _ in tail])
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in tail:
         schema = schema.add(name, kind)
     return docs.mapInArrow(_run(model, docs.columns.index("text"), digest, schema.names), schema)
