@@ -20,7 +20,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Share of a group that a determinant is taken over, concentration steps, least rows of a group of its own.
 CORE, STEPS, LEAST = 0.75, 4, 40
 #: The statistics are held in thousandths; least standard deviation of each; squared distance beyond which a row goes.
-UNIT, FLOOR, CUTOFF = 1000, (0.35, 0.35, 0.3, 0.3, 0.3), 60.0
+UNIT, FLOOR, CUTOFF = 1000, (0.35, 0.35, 0.3, 0.5, 0.8), 30.0
 K = len(FLOOR)
 
 

@@ -76,7 +76,7 @@ def _swaps(texts: list[str]) -> tuple[list[str], list[str]]:
     return given, swapped
 
 
-def fit(texts: list[str | None], toxic: list[int], fairness: float = 20.0, lasso: float = 2e-4, steps: int = 300) -> Model:
+def fit(texts: list[str | None], toxic: list[int], fairness: float = 20.0, lasso: float = 5e-4, steps: int = 300) -> Model:
     """Weights that minimise logistic loss + lasso + fairness * mean squared score change over the swapped sentences."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
