@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of linked documents, the one with the smallest doc_id."""
     space = Workspace(spark, "near-copies")
     found = space.put(jaccard.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.hint("merge").join(found, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "mix")
     taken = mixing.mix_sources(docs).where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     taken = space.put(taken.where("_times > 0"), "taken")
-    copies = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    copies = docs.hint("merge").join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return copies.select(*COLUMNS)
 
 

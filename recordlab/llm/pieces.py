@@ -234,7 +234,7 @@ def encode(docs: DataFrame, model_path: str, digest: bool = False) -> DataFrame:
     """
     with open(model_path, "rb") as f:
         model = ship(docs.sparkSession).sparkContext.broadcast(f.read())
-    tail = [("n_tokens", "long"), *([("ids_sha256", "string"), ("decoded_sha256", "string")] if digest else [("ids", "array<int>"), ("decoded", "string")])]
+    tail = [("n_tokens", "long"), *([("ids_sha256", "string"), ("decoded_sha256", "string")] if digest else [("ids", T.ArrayType(T.IntegerType())), ("decoded", "string")])]
     docs = docs.drop(*[name for name, _ in tail])
     schema = T.StructType(list(docs.schema.fields))
     for name, kind in tail:

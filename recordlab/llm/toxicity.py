@@ -30,11 +30,12 @@ GAP[97:123] = GAP[128:] = False
 
 @dataclass
 class Model:
-    """Weights of features known by 64-bit hashes (sorted), and the intercept."""
+    """Weights of features known by 64-bit hashes (sorted), the intercept, and the logit of a text without words."""
 
     keys: np.ndarray
     weights: np.ndarray
     bias: float
+    empty: float
 
 
 def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -81,7 +82,8 @@ def fit(texts: list[str | None], toxic: list[int], fairness: float = 20.0, lasso
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
+        rate = float(np.log(share / (1 - share)))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), rate, rate)
     texts = [t or "" for t in texts]
     seen = _distinct(pa.array(texts, pa.string()))
     keys, at = np.unique(np.concatenate(seen), return_inverse=True)
@@ -139,16 +141,16 @@ def fit(texts: list[str | None], toxic: list[int], fairness: float = 20.0, lasso
         w = np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0)
         b = ab - step * gb
     used = w != 0
-    return Model(keys[used], w[used], float(b))
+    return Model(keys[used], w[used], float(b), min(float(b), float(np.log(share / (1 - share))), -0.1))
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weights, bias = model.value.keys, model.value.weights, model.value.bias
+        keys, weights, bias, empty = model.value.keys, model.value.weights, model.value.bias, model.value.empty
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for row, rows, text, hashes in _features(batch.column(batch.num_columns - 1)):
-                logit = np.full(rows, bias)
+                logit = np.where(np.bincount(text, minlength=rows) > 0, bias, empty)
                 if len(keys) and len(hashes):
                     at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
                     hit = keys[at] == hashes
@@ -174,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row; only the text is read.  Null and empty texts score as texts without words."""
+    """doc_id and score (0 to 1) of every row; only the text is read.  Null and empty texts, and others without
+    words, score at most the rate of toxic rows among the labelled."""
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
     keep = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return keep.mapInArrow(_score(sent), f"doc_id {keep.schema['doc_id'].dataType.simpleString()}, score double")

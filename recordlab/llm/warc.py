@@ -139,7 +139,7 @@ def write_bundles(pages: DataFrame, least: int = 0) -> DataFrame:
     repeated = space.put(known.groupBy("_digest").agg(F.count("*").alias("_n"), F.max("page_id").alias("_last")).where("_n > 1").drop("_n"), "repeated")
     keyed = rows.withColumn("_digest", F.when(F.octet_length("html") >= least, F.sha1("html")))
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("_last")), F.col("_last"))
-    placed = keyed.join(repeated, "_digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    placed = keyed.hint("merge").join(repeated, "_digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
     return space.put(placed.mapInArrow(_write, BUNDLES), "bundles")
 
 
