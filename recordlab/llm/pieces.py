@@ -19,7 +19,6 @@ from recordlab.session import ship
 #: Segments that a worker remembers, longest segment that is merged in a table, texts that are handled together.
 REMEMBERED, LONGEST, TOGETHER = 400_000, 32, 512
 NEVER = np.iinfo(np.int32).max
-_SEGMENT = re.compile("▁[^▁]*|▁+[^▁]*")
 _workers: dict[bytes, Pieces] = {}
 
 
@@ -34,10 +33,11 @@ class Pieces:
         self.library = lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = lib.get_piece_size()
         normal = {lib.id_to_piece(i): i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))}
-        if any("▁" in p.lstrip("▁") for p in normal) or lib.encode("a  b", out_type=str) != lib.encode("a", out_type=str) + ["▁"] + lib.encode("b", out_type=str):
-            raise ValueError("only models whose pieces hold the space mark at the start, with a dummy prefix and all spaces kept, can be used")
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in normal) or "▁" not in normal or lib.encode("a  b", out_type=str) != lib.encode("a", out_type=str) + ["▁"] + lib.encode("b", out_type=str):
+            raise ValueError("only models whose pieces hold the space mark at the start and no line ends, with a dummy prefix and all spaces kept, can be used")
         self.normal, self.n, self.byte = normal, n, [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.text = list(map(str, range(n)))
+        self.line, self.mark = (self.byte[10],), (normal["▁"],)
         known = {c: normal.get(c, n + 1 + i) for i, c in enumerate(sorted({c for p in normal for c in p}))}
         self.chars = np.full(0x110000, n, np.int32)  # n: a character of no piece
         for c, i in known.items():
@@ -87,50 +87,48 @@ class Pieces:
         return (symbol,) if symbol < self.n else tuple(self.byte[b] for b in text.encode())
 
     def merge_table(self, segments: list[str]) -> list[tuple[int, ...]]:
-        """Encodes segments of similar length together: a row of agenda entries for each, the best taken in each round."""
+        """Encodes segments of similar length together: a row of agenda entries for each, the best taken in each round.
+
+        All tables are flat, one cell for a symbol and one behind each row that stands for its outside.
+        """
         size = np.array([len(s) for s in segments])
-        wide, rows = int(size.max()), len(segments)
+        wide, rows = int(size.max()) + 1, len(segments)
         points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
-        inside = np.arange(wide)[None, :] < size[:, None]
-        symbol = np.full((rows, wide + 1), -1, np.int32)
-        symbol[:, :wide][inside] = self.chars[points]
-        agenda = np.full((rows, wide), NEVER, np.int32)
-        both = np.argwhere(inside[:, 1:]) if wide > 1 else np.zeros((0, 2), int)
-        where = self._look(symbol[both[:, 0], both[:, 1]], symbol[both[:, 0], both[:, 1] + 1])
-        ok = where >= 0
-        target = np.zeros((rows, wide), np.int32)
-        agenda[both[ok, 0], both[ok, 1]], target[both[ok, 0], both[ok, 1]] = self.rank[where[ok]], self.piece[where[ok]]
-        after = np.broadcast_to(np.arange(1, wide + 1), (rows, wide)).copy()
-        after[~np.pad(inside[:, 1:], ((0, 0), (0, 1)))] = wide
-        before = np.broadcast_to(np.arange(-1, wide - 1), (rows, wide)).copy()
-        live = inside.copy()
-        act = np.arange(rows)
-        while True:
-            j = agenda[act].argmin(1)
-            going = agenda[act, j] != NEVER
-            act, j = act[going], j[going]
-            if not len(act):
-                break
-            k = after[act, j]
-            symbol[act, j], live[act, k], agenda[act, k] = target[act, j], False, NEVER
-            nxt = after[act, k]
-            after[act, j] = nxt
-            inner = nxt < wide
-            before[act[inner], nxt[inner]] = j[inner]
-            prv = before[act, j]
-            agenda[act, j] = NEVER
-            for r, a, b in ((act[inner], j[inner], nxt[inner]), (act[prv >= 0], prv[prv >= 0], j[prv >= 0])):
-                where = self._look(symbol[r, a], symbol[r, b])
-                ok = where >= 0
-                agenda[r, a] = np.where(ok, self.rank[where], NEVER)
-                target[r, a] = np.where(ok, self.piece[where], 0)
-        flat, count = symbol[:, :wide][live].tolist(), np.concatenate(([0], np.cumsum(live.sum(1)))).tolist()
-        whole = (np.where(live, symbol[:, :wide], 0) < self.n).all(1)
+        live = (np.arange(wide)[None, :] < size[:, None]).ravel()
+        symbol = np.full(rows * wide, -1, np.int32)
+        symbol[live] = self.chars[points]
+        cell = np.arange(rows * wide)
+        outside = np.repeat(np.arange(1, rows + 1) * wide - 1, wide)
+        after = np.where(np.append(live[1:], False), cell + 1, outside)
+        before = np.where(np.append(False, live[:-1]) & (cell % wide > 0), cell - 1, outside)
+        agenda, target = np.full(rows * wide, NEVER, np.int32), np.zeros(rows * wide, np.int32)
+
+        def enter(left: np.ndarray, right: np.ndarray) -> None:
+            where = self._look(symbol[left], symbol[right])
+            agenda[left] = np.where(where >= 0, self.rank[where], NEVER)
+            target[left] = self.piece[where]
+
+        first = np.flatnonzero(live)
+        enter(first, after[first])
+        table, act = agenda.reshape(rows, wide), np.arange(rows)
+        while len(act):
+            at = act * wide + table[act].argmin(1)
+            going = agenda[at] != NEVER
+            act, at = act[going], at[going]
+            gone = after[at]
+            symbol[at], live[gone], agenda[gone] = target[at], False, NEVER
+            following = after[gone]
+            after[at], before[following] = following, at
+            enter(np.concatenate((at, before[at])), np.concatenate((following, at)))
+        live[wide - 1 :: wide] = False
+        count = np.concatenate(([0], np.cumsum(live.reshape(rows, wide).sum(1)))).tolist()
+        flat = symbol[live].tolist()
+        whole = ((symbol < self.n) | ~live).reshape(rows, wide).all(1).tolist()
         out = []
         for i in range(rows):
             own = tuple(flat[count[i] : count[i + 1]])
             if not whole[i]:
-                starts = [*np.flatnonzero(live[i]).tolist(), len(segments[i])]
+                starts = [*np.flatnonzero(live[i * wide : (i + 1) * wide]).tolist(), len(segments[i])]
                 own = tuple(chain.from_iterable(self._leaf(s, segments[i][a:b]) for s, a, b in zip(own, starts, starts[1:], strict=False)))
             out.append(own)
         return out
@@ -162,31 +160,39 @@ class Pieces:
         return tuple(chain.from_iterable(self._leaf(symbol[a], segment[a:b]) for a, b in zip(starts, starts[1:], strict=False)))
 
     def learn(self, missing: list[str]) -> None:
-        """Encodes segments (without their first space mark), checks them against the library, remembers them."""
-        if len(self.seen) + len(missing) > REMEMBERED:
-            self.seen.clear()
+        """Encodes segments, checks them against the library, remembers them.
+
+        A segment is named by its text without the first space mark; one that begins a line has no mark, and its name
+        begins with the line's end.
+        """
         missing.sort(key=len)
-        short = [m for m in missing if len(m) < LONGEST]
-        for lo in range(0, len(short), 8192):
-            part = short[lo : lo + 8192]
-            self.seen.update(zip(part, self.merge_table(["▁" + m for m in part]), strict=True))
-        for m in missing[len(short) :]:
-            self.seen[m] = self.merge_heap("▁" + m)
+        short = [m for m in missing if 0 < len(m) < LONGEST and m != "\n"]
+        for lo in range(0, len(short), 4096):
+            part = short[lo : lo + 4096]
+            merged = self.merge_table([m[1:] if m[0] == "\n" else "▁" + m for m in part])
+            self.seen.update((m, self.line + ids) if m[0] == "\n" else (m, ids) for m, ids in zip(part, merged, strict=True))
+        for m in missing:
+            if m == "\n":
+                self.seen[m] = self.line
+            elif not m or len(m) >= LONGEST:
+                self.seen[m] = self.line + self.merge_heap(m[1:]) if m[:1] == "\n" else self.merge_heap("▁" + m)
         ask = [m for m in missing if m]
         for m, ids in zip(ask, self.library.encode([m.replace("▁", " ") for m in ask], num_threads=1), strict=True):
-            if tuple(ids) != self.seen[m]:
+            if tuple(ids) != (self.mark + self.seen[m] if m[0] == "\n" else self.seen[m]):
                 raise RuntimeError(f"the library encodes {m!r} as {ids}, not {self.seen[m]}")
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        parts = []
+        parts: list[list[str]] = []
         for text in texts:
             if not text:
                 parts.append([])
-            elif "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
-                marked = "▁" + text.replace(" ", "▁")
-                parts.append([s[1:] for s in re.findall("▁+[^▁]*", marked)])
+            elif "  " in text or "▁" in text or " \n" in text or text[0] == " " or text[-1] == " ":
+                names = []
+                for s in re.findall("▁+[^▁]*", "▁" + text.replace(" ", "▁")):
+                    names += ["", s[1:]] if s[1:2] == "\n" else [s[1:]]
+                parts.append(names)
             else:
-                parts.append(text.split(" "))
+                parts.append(text.replace("\n", " \n").split(" "))
         fresh = set(chain.from_iterable(parts)).difference(self.seen)
         if fresh:
             if len(self.seen) + len(fresh) > REMEMBERED:
