@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from recordlab.llm import jaccard, lines, mixing, pieces, toxicity
 from recordlab.llm._space import Workspace
@@ -24,19 +25,30 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id."""
+    """Of each group of linked documents, the one with the smallest doc_id; of rows equal in doc_id and text, one.
+
+    Rows without a doc_id stay, but for such repeats.
+    """
     space = Workspace(spark, "near-copies")
     found = space.put(jaccard.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.hint("merge").join(found, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.hint("merge").join(found, "doc_id", "left_anti").select(*COLUMNS)
+    first = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.lit(0)))  # shares the join's exchange
+    return left.withColumn("_first", first).where("_first = 1").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number: not at all, once or twice."""
+    """Each document as often as the mix takes its words, to the nearest whole number: not at all, once or twice.
+
+    Rows that share a doc_id, or have none, are told apart by their sizes; documents without words go.
+    """
     space = Workspace(spark, "mix")
-    taken = mixing.mix_sources(docs).where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = space.put(taken.where("_times > 0"), "taken")
-    copies = docs.hint("merge").join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(*COLUMNS)
+    by_size = lambda *more: F.row_number().over(W.partitionBy("doc_id").orderBy("size", *more))
+    taken = mixing.mix_sources(docs).where("size > 0").withColumn("_nth", by_size(F.desc("taken")))
+    taken = taken.select(F.col("doc_id").alias("_id"), "_nth", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    taken = space.put(taken.where("_times > 0").withColumnRenamed("_nth", "_n"), "taken")
+    sized = docs.select(*COLUMNS).withColumn("size", F.regexp_count("text", F.lit(mixing.WORDS))).where("size > 0").withColumn("_nth", by_size("text"))
+    met = sized.hint("merge").join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
