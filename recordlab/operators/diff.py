@@ -26,7 +26,8 @@ class Options:
     the text of their elements first; ``keyed`` arrays of structs are matched by the value of a field.  With
     ``indexed_paths`` the element's key is part of the reported path, and a missing element is one difference; without
     it every leaf of the missing element is one.  ``numeric_text`` measures texts that hold numbers as numbers,
-    ``emit_equal`` reports equal leaves too.  ``overrides`` maps a path to its own function of two Columns.
+    ``emit_equal`` reports equal leaves too.  ``overrides`` maps a path to its own function of two Columns; ``defaults``
+    maps a path to the value that an absent leaf stands for.
     """
 
     ignore: tuple[str, ...] = ()
@@ -40,6 +41,7 @@ class Options:
     guard: bool = True
     measures: D.Measures = D.Measures()
     overrides: dict[str, Callable[[Column, Column], Column]] = field(default_factory=dict)
+    defaults: dict[str, object] = field(default_factory=dict)
 
     def drops(self, path: str) -> bool:
         return any(x in path for x in self.ignore) if self.ignore_mode == "contains" else path in self.ignore
@@ -80,6 +82,9 @@ class _Compiler:
 
     def leaf(self, left: Column, right: Column, kind: T.DataType, path: str, name: Column) -> Column:
         m = self.o.measures
+        if path in self.o.defaults:
+            stand_in = F.lit(self.o.defaults[path]).cast(kind)
+            left, right = F.coalesce(left, stand_in), F.coalesce(right, stand_in)
         if path in self.o.overrides:
             label, value = F.lit("NUMERIC"), self.o.overrides[path](left, right)
         elif isinstance(kind, NUMBERS):

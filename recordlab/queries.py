@@ -248,6 +248,13 @@ def diff_overridden_measure(spark, d):
     return _flat(diff(s, s.withColumn("s_acctbal", F.round("s_acctbal")), ["s_suppkey"], overrides={"s_acctbal": lambda a, b: F.abs(b - a)}).deltas)
 
 
+@query("""SELECT c_custkey::VARCHAR AS key, 'n' AS field, 'NUMERIC' AS delta_type, -1::DOUBLE AS delta_value FROM customer WHERE c_custkey % 6 = 0""")
+def diff_defaults(spark, d):
+    """An absent leaf stands for its default: 1 against nothing differs, 0 against nothing does not."""
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0)).alias("n"))
+    return _flat(diff(c, c.withColumn("n", F.lit(None).cast("int")), ["c_custkey"], defaults={"n": 0}).deltas)
+
+
 @query("""SELECT c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 3 = 0 THEN 'DIFFERENT' ELSE 'SAME' END AS diff_type FROM customer""")
 def diff_preprocessed(spark, d):
     """Nulls become 0 on both sides before they are compared."""
