@@ -14,6 +14,10 @@ from ..functions.hashing import Algorithm, ByteEncoding, roll
 from ..plans.schema import stratum_field
 
 
+#: Bins of rolls by which an exact sample finds its thresholds.
+BINS = 4096
+
+
 class Distribution(str, Enum):
     STRATIFIED = "stratified"
     UNIFORM = "uniform"
@@ -93,6 +97,23 @@ def top_k_by_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
     return ranked.where(F.col("_rank") <= k).drop("_rank")
 
 
+def _smallest(rolled: DataFrame, aimed: DataFrame, ties: list[Column]) -> DataFrame:
+    """The rows with the ``_target`` smallest rolls of each stratum, without sorting a stratum.
+
+    Counts by stratum and roll bin, partially aggregated, tell in which bin each stratum's last row lies.  Rows in
+    lower bins stay as they are; only that bin's rows, about one in ``BINS``, are ranked.
+    """
+    binned = rolled.withColumn("_bin", F.floor(F.col("_roll") * BINS))
+    counts = binned.groupBy("stratum", "_bin").agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(W.partitionBy("stratum").orderBy("_bin"))).join(aimed, "stratum")
+    below = F.col("_upto") - F.col("_n")
+    edge = upto.where((below < F.col("_target")) & (F.col("_target") <= F.col("_upto"))).select("stratum", F.col("_bin").alias("_edge"), (F.col("_target") - below).alias("_need"))
+    met = binned.join(edge, "stratum")
+    sure = met.where(F.col("_bin") < F.col("_edge")).withColumn("_rank", F.lit(0))
+    last = met.where(F.col("_bin") == F.col("_edge")).withColumn("_rank", F.row_number().over(W.partitionBy("stratum").orderBy("_roll", *ties)))
+    return sure.unionByName(last.where(F.col("_rank") <= F.col("_need"))).drop("_roll", "_bin", "_edge", "_need", "_rank")
+
+
 def sample(
     df: DataFrame,
     fraction: float,
@@ -111,8 +132,10 @@ def sample(
 
     With ``fields`` (or a roll ``by``) a row's fate depends on them alone and repeats anywhere; otherwise it is random.
     A ``distribution`` over ``distribution_fields`` keeps each stratum's share or gives all strata equal shares.
-    Exact samples hold exactly the targets (ties by the rolls' own order).  ``prune`` drops rows whose roll is above a
-    Chernoff bound before exact ranking; it may leave a stratum short with a probability of about 1e-6.
+    Exact samples hold exactly the targets; equal rolls go by the other columns.  Deterministic ones rank only the rows
+    around each stratum's threshold.  Random rolls cannot be drawn twice alike, so there whole strata are ranked; there
+    ``prune`` first drops rows whose roll is above a Chernoff bound, and may leave a stratum short with a probability
+    of about 1e-6.
 
     Strata are counted by partial aggregation.  Approximate samples need no exchange of the rows themselves.
     """
@@ -134,13 +157,15 @@ def sample(
     population = strata(rows)
     done = lambda kept: Sample(kept, population, fraction, distribution)
     if precision is Precision.EXACT:
-        rolled = rows.withColumn("_roll", drawn)
+        ties = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
         aimed = population.withColumn("_target", targets(distribution, fraction)).select("stratum", "c", "_target")
+        rolled = rows.withColumn("_roll", drawn)
+        if deterministic:
+            return done(_smallest(rolled, aimed, ties))
         met = rolled.join(aimed, "stratum")
         if prune:
-            share = F.col("_target") / F.col("c")
-            met = met.where(F.col("_roll") <= chernoff_bounds(F.col("c"), share, 1e-6)[1])
-        ranked = met.withColumn("_rank", F.row_number().over(W.partitionBy("stratum").orderBy("_roll", *[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))])))
+            met = met.where(F.col("_roll") <= chernoff_bounds(F.col("c"), F.col("_target") / F.col("c"), 1e-6)[1])
+        ranked = met.withColumn("_rank", F.row_number().over(W.partitionBy("stratum").orderBy("_roll", *ties)))
         return done(ranked.where(F.col("_rank") <= F.col("_target")).drop("_rank", "_roll", "_target", "c"))
     if distribution is Distribution.STRATIFIED:
         return done(rows.where(drawn < fraction if deterministic else drawn <= fraction))
