@@ -256,7 +256,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     met = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("x").asc_nulls_first())
     drops = space.put(met.mapInArrow(_answer(min_docs), f"doc_id {kind}, x long").groupBy("doc_id").agg(F.collect_set("x").alias("_gone")), "drops")
     names = docs.columns
-    joined = docs.alias("d").join(drops.withColumnRenamed("doc_id", "_id"), F.col("d.doc_id").eqNullSafe(F.col("_id")), "left").select(*[F.col(f"d.`{c}`") for c in names], "_gone")
+    joined = docs.alias("d").hint("merge").join(drops.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select(*[F.col(f"d.`{c}`") for c in names], F.col("g._gone"))
     schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(_keep(common, min_chars, names.index("text"), schema.names), schema)
 
