@@ -23,7 +23,9 @@ IDENTITY = {
     "es": "mujeres hombres musulmanes cristianos judíos inmigrantes refugiados africanos asiáticos negros blancos gays lesbianas discapacitados viejos jóvenes".split(),
 }
 #: Labelled rows of each class that the model may see, features that it keeps, lengths of word beginnings in bytes.
-SAMPLE, FEATURES, HEADS = 6000, 4096, (4, 5, 6)
+SAMPLE, FEATURES, HEADS = 4000, 4096, (4, 5, 6)
+#: Bits of the buckets that features are first counted in.
+BUCKETS = 22
 GAP = np.ones(256, bool)
 GAP[97:123] = GAP[128:] = False
 
@@ -80,24 +82,47 @@ def _swaps(texts: list[str]) -> tuple[list[str], list[str]]:
 def fit(texts: list[str | None], toxic: list[int], fairness: float = 20.0, lasso: float = 5e-4, steps: int = 300) -> Model:
     """Weights that minimise logistic loss + lasso + fairness * mean squared score change over the swapped sentences."""
     y = np.array(toxic, float)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    rate = float(np.log(share / (1 - share)))
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), rate, min(rate, -0.1))
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        rate = float(np.log(share / (1 - share)))
-        return Model(np.zeros(0, np.uint64), np.zeros(0), rate, rate)
+        return none
     texts = [t or "" for t in texts]
-    seen = _distinct(pa.array(texts, pa.string()))
-    keys, at = np.unique(np.concatenate(seen), return_inverse=True)
-    row = np.repeat(np.arange(len(seen)), [len(x) for x in seen])
-    df, bad = np.bincount(at, minlength=len(keys)), np.bincount(at, weights=y[row], minlength=len(keys))
     share = y.mean()
-    z = np.where(df >= 3, np.abs(bad - df * share) / np.sqrt(df * share * (1 - share) + 1), 0)
+
+    def strength(df: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        return np.where(df >= 3, np.abs(bad - df * share) / np.sqrt(df * share * (1 - share) + 1), 0)
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo in range(0, len(texts), 256):
+            own = _distinct(pa.array(texts[lo : lo + 256], pa.string()))
+            yield np.concatenate(own), np.repeat(np.arange(lo, lo + len(own)), [len(x) for x in own])
+
+    # Counts by bucket first, so that only features of telling buckets are ever held.
+    df, bad = np.zeros(1 << BUCKETS, np.int32), np.zeros(1 << BUCKETS, np.int32)
+    for hashes, rows in parts():
+        place = (hashes >> np.uint64(64 - BUCKETS)).astype(np.int64)
+        np.add.at(df, place, 1)
+        np.add.at(bad, place[y[rows] > 0], 1)
+    z = strength(df, bad)
     named = np.unique(np.concatenate([np.zeros(0, np.uint64), *_distinct(pa.array([w for words in IDENTITY.values() for w in words]))]))
+    telling = np.zeros(len(z), bool)
+    top = np.argpartition(-z, 2 * FEATURES)[: 2 * FEATURES]
+    telling[top[z[top] > 0]] = True
+    telling[(named >> np.uint64(64 - BUCKETS)).astype(np.int64)] = True
+    held = [(h[k], r[k]) for h, r in parts() for k in (telling[(h >> np.uint64(64 - BUCKETS)).astype(np.int64)],)]
+    del df, bad, z, telling
+    row = np.concatenate([r for _, r in held])
+    keys, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+    z = strength(np.bincount(at, minlength=len(keys)), np.bincount(at, weights=y[row], minlength=len(keys)))
     best = np.lexsort((keys, -z))[:FEATURES]
-    chosen = np.sort(np.union1d(best[z[best] > 0], np.flatnonzero(np.isin(keys, named))))
+    chosen = np.sort(np.union1d(best[z[best] > 0], np.flatnonzero(np.isin(keys, named)))).astype(np.int64)
     place = np.full(len(keys), -1)
     place[chosen] = np.arange(len(chosen))
     col, row = place[at[place[at] >= 0]], row[place[at] >= 0]
     keys = keys[chosen]
+    if not len(keys):
+        return none
     given, swapped = _swaps(texts)
 
     def matrix(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -78,6 +78,7 @@ def test_near_duplicates(spark):
 
 def test_near_duplicates_after_linear_rounds(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard, "CROWDED", 4)
     base = " ".join(f"t{i}" for i in range(120))
     docs = near(7, base, 150, 0.035)
     got = {r.doc_id: tuple(r) for r in jaccard.near_duplicates(documents(spark, docs)).collect()}
