@@ -14,10 +14,13 @@ from ._space import Workspace, partitions
 from ._text import shingle_sets
 from .components import components
 
-#: Least number of sets that makes a shingle frequent, share of the sets that does, least count in a batch.
-FREQUENT, SHARE, LOCAL = 64, 1000, 3
+#: Least number of sets that makes a shingle frequent, most such shingles (the least number rises to hold it), least count in a batch.
+FREQUENT, MOST, LOCAL = 16, 1_000_000, 2
 #: Postings in a bucket, members checked against one copy of a set, bits of the filter of fixed size.
 BUCKET, CHUNK, BLOOM = 500_000, 64, 1 << 26
+#: Rounds, before all pairs across components meet, in which a member meets a few of its tile's largest component; they
+#: are run while a member of a tile would meet so many others on average.
+ROUNDS, SOME, CROWDED = 4, 4, 1000
 
 
 def _ident(tokens: np.ndarray) -> int:
@@ -26,20 +29,31 @@ def _ident(tokens: np.ndarray) -> int:
 
 def _bits(tokens: np.ndarray) -> bytes:
     """Parity signature: each bit tells whether an odd number of shingles fell on it."""
-    width = min(8192, max(64, 1 << (len(tokens) - 1).bit_length()))
+    width = min(8192, max(64, 2 << (len(tokens) - 1).bit_length()))
     odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _differing(x: bytes, y: bytes) -> int:
-    """Bits that differ, the wider signature folded to the other's width; as many shingles at least are in one set only."""
-    if len(x) < len(y):
-        x, y = y, x
-    a, width = int.from_bytes(x, "little"), len(x) * 8
-    while width > len(y) * 8:
-        width //= 2
-        a = (a >> width) ^ (a & ((1 << width) - 1))
-    return (a ^ int.from_bytes(y, "little")).bit_count()
+class _Signature:
+    """Bits of one set, folded to narrower widths where a partner's are narrower."""
+
+    __slots__ = ("n", "widths")
+
+    def __init__(self, n: int, bits: bytes):
+        self.n, self.widths = n, {len(bits): int.from_bytes(bits, "little")}
+
+    def fold(self, size: int) -> int:
+        while size not in self.widths:
+            least = min(self.widths)
+            x, half = self.widths[least], least * 4
+            self.widths[least // 2] = (x >> half) ^ (x & ((1 << half) - 1))
+        return self.widths[size]
+
+    def may_link(self, other: _Signature, percent: int) -> bool:
+        """As many shingles at least are in one set only as bits differ, which bounds the overlap from above."""
+        size = min(max(self.widths), max(other.widths))
+        most = (self.n + other.n - (self.fold(size) ^ other.fold(size)).bit_count()) // 2
+        return 100 * most >= percent * (self.n + other.n - most)
 
 
 def _keys(percent: int):
@@ -71,7 +85,7 @@ def _postings(buckets: int, frequent, percent: int):
     """Prefixes: the first tokens of a set, rare ones first, of which two linked sets share one at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
+        late, often_by = frequent.value
         for batch in batches:
             seen: dict[int, np.ndarray] = {}
             for _, tokens in shingle_sets(batch.column(0)):
@@ -82,7 +96,8 @@ def _postings(buckets: int, frequent, percent: int):
                 if len(late):
                     at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
                     often = late[at] == tokens
-                    tokens = np.concatenate([tokens[~often], tokens[often]])
+                    last = tokens[often]
+                    tokens = np.concatenate([tokens[~often], last[np.lexsort((last, often_by[at[often]]))]])
                 seen[ref] = tokens[: n - -(-percent * n // 100) + 1]
             if not seen:
                 continue
@@ -114,9 +129,10 @@ def _tile(bucket: int, rest: np.ndarray, refs: np.ndarray) -> pa.RecordBatch | N
     one = np.zeros(len(start), bool)  # groups of the same members are kept once
     one[np.unique(np.where(size > 1, sign, 0), return_index=True)[1]] = True
     keep = np.repeat(one & (size > 1), size)
-    center = np.repeat(refs[start], size)
-    tile = (np.int64(bucket) << 32) | rest.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(tile[keep]), pa.array(refs[keep]), pa.array(center[keep])], ["tile", "ref", "center"])
+    center, before = np.repeat(refs[start], size), np.concatenate((refs[:1], refs[:-1]))
+    before[start] = refs[start]
+    tile, members = (np.int64(bucket) << 32) | rest.astype(np.int64), np.repeat(size, size).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tile, refs, center, before, members)], ["tile", "ref", "center", "before", "members"])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,48 +153,98 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def _crossing(percent: int):
-    """Pairs of members of a tile that are in different components so far and of sizes that can link.
-
-    A tile's members arrive together, by size, so that a member meets only the band of sizes it can link with.
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile, which arrive together."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile = batch.column(0).to_numpy()
+        cut = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(tile)], strict=True):
+            if tile[lo] != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = tile[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the tiles whose members are in several components so far, and at each tile's first the pairs across."""
+    for batch in _runs(batches):
+        tile, comp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        order = np.lexsort((comp, tile))
+        tile, comp = tile[order], comp[order]
+        new = np.concatenate(([True], tile[1:] != tile[:-1]))
+        part = np.flatnonzero(new | np.concatenate(([True], comp[1:] != comp[:-1])))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(tile)))
+        own = np.diff(np.append(part, len(tile)))
+        within = np.add.reduceat(own * own, np.searchsorted(part, start))
+        across = np.zeros(len(tile), np.int64)
+        across[start] = (size * size - within) // 2
+        keep = np.repeat(size * size > within, size)
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(order[keep])) for c in batch.columns), pa.array(across[keep])], [*batch.schema.names, "across"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the last tile of each batch moved to the next, so that tiles are whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(tile, tile[-1])) if tile[0] <= tile[-1] else 0
+        if cut:
+            whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            yield from whole.to_batches()
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _crossing(percent: int, some: int = 0, salt: int = 0):
+    """Pairs of members of a tile in different components so far, of sizes and signatures that can link.
+
+    A tile's members come by size, so that a member meets only the band of sizes that it can link with.  With ``some``
+    each member outside the tile's largest component meets only so many of that component.
     """
 
-    def pairs(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ref, comp, n, center = (np.concatenate(x) for x in zip(*rows, strict=True))
-        if len(ref) < 2 or (comp == comp[0]).all():
-            return
-        top = np.searchsorted(n, n * 100 // percent, "right")
-        for i in range(len(ref) - 1):
-            j = np.arange(i + 1, top[i])
-            j = j[(comp[j] != comp[i]) & (ref[j] != center[0]) & (ref[i] != center[0])]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ref[i], ref[j])), pa.array(np.maximum(ref[i], ref[j]))], ["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows: list[tuple[np.ndarray, ...]] = []
-        now = None
-
-        def flush():
-            got = pa.Table.from_batches(held).group_by(["a", "b"]).aggregate([]).to_batches()
-            held.clear()
-            return got
-
-        for batch in batches:
-            tile, *rest = (c.to_numpy() for c in batch.columns)
-            cut = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
-            for lo, hi in zip(cut, [*cut[1:], len(tile)], strict=True):
-                if tile[lo] != now:
-                    if rows:
-                        held.extend(pairs(rows))
-                    rows, now = [], tile[lo]
-                    if sum(x.num_rows for x in held) > 200_000 or len(held) > 5000:
-                        yield from flush()
-                rows.append(tuple(x[lo:hi] for x in rest))
-        if rows:
-            held.extend(pairs(rows))
-        if held:
-            yield from flush()
+        seen: set[tuple[int, int]] = set()
+        for tile in _by_tile(batches):
+            n, ref, comp, center = (tile.column(i).to_numpy() for i in (1, 2, 3, 4))
+            signs = [_Signature(*x) for x in zip(n.tolist(), tile.column(5).to_pylist(), strict=True)]
+            top, refs = np.searchsorted(n, n * 100 // percent, "right"), ref.tolist()
+            if some:
+                kinds, counts = np.unique(comp, return_counts=True)
+                main = np.flatnonzero(comp == kinds[counts.argmax()])
+            for i in range(len(ref)):
+                if some:
+                    if comp[i] == comp[main[0]]:
+                        continue
+                    draw = (refs[i] ^ (salt * 0x9E3779B97F4A7C15)) % (1 << 61)
+                    meet = [int(main[(draw // (7**t)) % len(main)]) for t in range(some)]
+                    meet = [k for k in meet if top[min(i, k)] > max(i, k)]
+                elif refs[i] == center[0]:
+                    continue
+                else:
+                    j = np.arange(i + 1, top[i])
+                    meet = j[(comp[j] != comp[i]) & (ref[j] != center[0])].tolist()
+                for k in meet:
+                    pair = (refs[i], refs[k]) if refs[i] < refs[k] else (refs[k], refs[i])
+                    if pair not in seen and signs[i].may_link(signs[k], percent):
+                        seen.add(pair)
+            if len(seen) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen, strict=True)], ["a", "b"])
+                seen.clear()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen, strict=True)], ["a", "b"])
 
     return run
 
@@ -188,9 +254,8 @@ def _bounded(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
-            ok = [100 * (most := (n + m - _differing(p, q)) // 2) >= percent * (n + m - most) for n, m, p, q in zip(na, nb, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+            ok = pa.array([_Signature(n, x).may_link(_Signature(m, y), percent) for n, m, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     return run
 
@@ -261,7 +326,7 @@ def _verify(space: Workspace, docs: DataFrame, reps: DataFrame, pairs: DataFrame
     parted = left.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1))).alias("part"))
     centers = parted.select(F.col("a").alias("ref"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
     roles = space.put(centers.unionByName(parted.select(F.col("b").alias("ref"), "a", "part", "b")), f"{name}-roles")
-    met = roles.join(sets, "ref").select("a", "part", "b", "tokens").repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "b")
+    met = roles.hint("merge").join(sets, "ref").select("a", "part", "b", "tokens").repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "b")
     return space.put(met.mapInArrow(_links(percent), "a long, b long").distinct(), f"{name}-links")
 
 
@@ -274,9 +339,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     similarity is ``percent`` hundredths or more; links are exact and none is lost:
 
     1. equal sets are one node, so copies are never paired;
-    2. two linked sets share a token of their prefixes (frequent shingles last), which makes the tiles; all members
-       of a tile are checked against its smallest member, and what links becomes components;
-    3. members of a tile in different components meet within the band of sizes that can link;
+    2. two linked sets share a token of their prefixes (frequent shingles last), which makes the tiles; each member of
+       a tile is checked against its smallest member and the one before it, and what links becomes components;
+    3. where tiles could still make many pairs, members meet a few of the tile's largest component, for some rounds;
+       then all members of a tile in different components meet within the band of sizes that can link;
     4. every pair passes the bound that its bitmap signatures give before the sorted arrays are intersected.
 
     Repeated rows each get a row; a null doc_id takes part and never is a component's id unless all are null.  An
@@ -289,19 +355,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = space.put(keys.where("n > 0").groupBy("ref").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "reps")
     total = reps.agg(F.count("*").alias("sets"), F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("postings")).first()
     counted = keys.where("often is not null").select("often").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    # At most SHARE times the mean size of a set, whatever the number of documents.
-    late = counted.where(F.col("c") >= max(FREQUENT, total.sets // SHARE)).select("token").toArrow()["token"].to_numpy().view(np.uint64)
-    frequent = spark.sparkContext.broadcast(np.sort(late))
+    often = space.put(counted.where(F.col("c") >= FREQUENT), "often")
+    least = FREQUENT  # rises until the shingles that count as frequent are MOST at most, which bounds what is broadcast
+    while often.where(F.col("c") >= least).count() > MOST:
+        least *= 2
+    late = often.where(F.col("c") >= least).toArrow()
+    tokens, times = late["token"].to_numpy().view(np.uint64), late["c"].to_numpy()
+    order = np.argsort(tokens)
+    frequent = spark.sparkContext.broadcast((tokens[order], times[order].astype(np.int64)))
     buckets = int(max(partitions(spark), (total.postings or 0) // BUCKET))
     dealt = docs.select("text").mapInArrow(_postings(buckets, frequent, percent), "bucket long, rest binary, refs binary")
-    tiles = space.put(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles, "tile long, ref long, center long"), "tiles")
-    first = _verify(space, docs, reps, tiles.where("ref <> center").select(F.col("center").alias("a"), F.col("ref").alias("b")).distinct(), percent, "first")
-    so_far = components(space, first, "cc1")
-    known = space.put(reps.select("ref", "n").join(so_far.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "n", F.coalesce("comp", "ref").alias("comp")), "known")
-    banded = tiles.join(known, "ref").select("tile", "ref", "comp", "n", "center").repartition(partitions(spark), "tile").sortWithinPartitions("tile", "n")
-    crossing = banded.mapInArrow(_crossing(percent), "a long, b long").distinct()
-    second = _verify(space, docs, reps, crossing, percent, "second")
-    comps = so_far if second.isEmpty() else components(space, first.unionByName(second), "cc2")
+    tiles = space.put(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles, "tile long, ref long, center long, before long, members int"), "tiles")
+    near = tiles.select(F.explode(F.array("center", "before")).alias("a"), F.col("ref").alias("b")).where("a <> b").distinct()
+    links = _verify(space, docs, reps, near, percent, "near")
+    large = tiles.where(F.col("members") > 3).select("tile", "ref", "center")  # smaller ones have met all pairs by now
+    for turn in range(ROUNDS + 1):
+        comps = components(space, links, f"cc{turn}")
+        known = space.put(reps.join(comps.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "n", "bits", F.coalesce("comp", "ref").alias("comp")), f"known{turn}")
+        by_tile = large.join(known.select("ref", "comp"), "ref").select("tile", "comp", "ref", "center").repartition(partitions(spark), "tile").sortWithinPartitions("tile")
+        unsettled = space.put(by_tile.mapInArrow(_open, "tile long, comp long, ref long, center long, across long"), f"unsettled{turn}")
+        left = unsettled.agg(F.count("*").alias("rows"), F.sum("across").alias("pairs")).first()
+        if not left.rows:
+            break
+        some = 0 if turn == ROUNDS or left.pairs <= CROWDED * left.rows else SOME
+        banded = unsettled.drop("comp", "across").join(known, "ref").select("tile", "n", "ref", "comp", "center", "bits")
+        # Tiles of one cluster mostly share their smallest member: dealt by it, a pair is made twice at most, not in each tile.
+        banded = banded.repartition(partitions(spark), "center", F.pmod("tile", F.lit(2))).sortWithinPartitions("center", "tile", "n")
+        found = _verify(space, docs, reps, banded.mapInArrow(_crossing(percent, some, turn), "a long, b long").distinct(), percent, f"crossing{turn}")
+        none = found.isEmpty()
+        if not none:
+            links = links.unionByName(found)
+        if not some:
+            comps = comps if none else components(space, links, "cc")
+            break
     labelled = space.put(reps.select("ref", "rep").join(comps.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "rep", F.coalesce("comp", "ref").alias("comp")), "labelled")
     least = space.put(labelled.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
     final = space.put(labelled.join(least, "comp").select("ref", "component_id"), "final")
