@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordlab.session import ship
 
@@ -50,3 +51,8 @@ class Workspace:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def row_key(*columns: str | Column) -> Column:
+    """A name for the values of some columns, never null, so that it can be joined and partitioned by as it is."""
+    return F.md5(F.to_json(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(columns)])))

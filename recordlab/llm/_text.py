@@ -1,8 +1,7 @@
 """Words, lines and shingles of Arrow string columns, computed with numpy on the UTF-8 buffers.
 
-White space is the ASCII set ``[\\x20\\x09-\\x0D]`` throughout.  Every byte of a chunk gets a random 64-bit value times
-a power of an odd constant; differences of the running sum then give a hash of any span without touching Python
-objects per word.
+White space is the ASCII set ``[\\x20\\x09-\\x0D]`` throughout.  Spans are hashed by their 8-byte blocks, all spans of a
+chunk at once, without a Python object for each word.
 """
 
 from __future__ import annotations
@@ -20,21 +19,9 @@ LOWER[65:91] += 32
 CHUNK = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _MULT = np.random.default_rng(20).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE = np.random.default_rng(19).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
-
-
-def _power(n: int, sign: int) -> np.ndarray:
-    if len(_powers[sign]) < n:
-        steps = np.full(max(n, CHUNK + 65536), _ODD if sign > 0 else _BACK, np.uint64)
-        steps[0] = 1
-        got = np.multiply.accumulate(steps)
-        if n > 4 * CHUNK:
-            return got
-        _powers[sign] = got
-    return _powers[sign]
+_SEED = np.random.default_rng(19).integers(1, 1 << 63, 2, dtype=np.uint64)
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,10 +65,22 @@ def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.nd
 
 
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[which][data] * _power(n, 1)[:n], out=total[1:])
-    return mix((total[last] - total[first]) * _power(n + 1, -1)[first] + (last - first).astype(np.uint64))
+    """Hash of each span: the sum of its 8-byte blocks, each put through a mixing function that its place in the span
+    selects.  The two values of ``which`` give independent hashes."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    size = (last - first).astype(np.int64)
+    many = np.maximum((size + 7) >> 3, 1)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+    if many.max() == 1:
+        body = mix((eight[first] & _TAIL[size]) ^ mix(_SEED[which : which + 1]))
+    else:
+        start = np.cumsum(many) - many
+        place = np.arange(start[-1] + many[-1]) - np.repeat(start, many)
+        block = eight[np.repeat(first, many) + 8 * place] & _TAIL[np.minimum(np.repeat(size, many) - 8 * place, 8)]
+        body = np.add.reduceat(mix(block ^ mix(place.astype(np.uint64) * _ODD + _SEED[which])), start)
+    return mix(body + size.astype(np.uint64) * _MULT[which])
 
 
 def windows(words: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,28 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from ._space import Workspace, partitions
-from ._text import shingle_sets
+from ._space import Workspace, partitions, row_key
+from ._text import mix, shingle_sets
 from .components import components
 
 #: Least number of sets that makes a shingle frequent, most such shingles (the least number rises to hold it), least count in a batch.
 FREQUENT, MOST, LOCAL = 16, 1_000_000, 2
-#: Postings in a bucket, members checked against one copy of a set, bits of the filter of fixed size.
-BUCKET, CHUNK, BLOOM = 500_000, 64, 1 << 26
-#: Rounds, before all pairs across components meet, in which a member meets a few of its tile's largest component; they
+#: Postings in a bucket, sets in a piece of a tile, members checked against one copy of a set, bits of the filter of fixed size.
+BUCKET, PIECE, CHUNK, BLOOM = 500_000, 50_000, 64, 1 << 26
+#: Rounds, before the pairs across components meet, in which a member meets a few of its tile's largest component; they
 #: are run while a member of a tile would meet so many others on average.
 ROUNDS, SOME, CROWDED = 4, 4, 1000
+#: Members, and shingles of all members, on a side of a cell.
+SIDE, WEIGHT = 256, 1_000_000
+#: Bits of the short name of a set.
+NAME = 64
 
 
-def _ident(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+@dataclass(frozen=True)
+class _Names:
+    """Sets are known by 128 bits, and called by ``bits`` of the first 64, or by what stands for these where several sets
+    share them."""
+
+    bits: int
+    twins: dict[tuple[int, int], int]
+
+    def whole(self, tokens: np.ndarray) -> tuple[int, int]:
+        h = xxhash.xxh3_128_intdigest(tokens.tobytes())
+        return (h >> (128 - self.bits)) - (1 << self.bits - 1), (h & ((1 << 64) - 1)) - (1 << 63)
+
+    def ref(self, tokens: np.ndarray) -> int:
+        name = self.whole(tokens)
+        return self.twins.get(name, name[0])
 
 
 def _bits(tokens: np.ndarray) -> bytes:
@@ -34,42 +54,75 @@ def _bits(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-class _Signature:
-    """Bits of one set, folded to narrower widths where a partner's are narrower."""
-
-    __slots__ = ("n", "widths")
-
-    def __init__(self, n: int, bits: bytes):
-        self.n, self.widths = n, {len(bits): int.from_bytes(bits, "little")}
-
-    def fold(self, size: int) -> int:
-        while size not in self.widths:
-            least = min(self.widths)
-            x, half = self.widths[least], least * 4
-            self.widths[least // 2] = (x >> half) ^ (x & ((1 << half) - 1))
-        return self.widths[size]
-
-    def may_link(self, other: _Signature, percent: int) -> bool:
-        """As many shingles at least are in one set only as bits differ, which bounds the overlap from above."""
-        size = min(max(self.widths), max(other.widths))
-        most = (self.n + other.n - (self.fold(size) ^ other.fold(size)).bit_count()) // 2
-        return 100 * most >= percent * (self.n + other.n - most)
-
-
-def _keys(percent: int):
+class _Signatures:
+    """Parity signatures of many sets, folded to a common width on demand."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes]):
+        self.n, self.width = n.astype(np.int64), np.array([len(b) for b in bits], np.int64)
+        self.own = {w: np.flatnonzero(self.width == w) for w in np.unique(self.width).tolist()}
+        self.folded = {w: np.frombuffer(b"".join(bits[i] for i in at.tolist()), np.uint64).reshape(len(at), -1) for w, at in self.own.items()}
+        self.at: dict[int, np.ndarray] = {}
+
+    def _level(self, width: int) -> np.ndarray:
+        if width not in self.at:
+            out = np.zeros((len(self.n), width // 8), np.uint64)
+            for w, rows in self.own.items():
+                if w >= width:
+                    x = self.folded[w]
+                    while x.shape[1] * 8 > width:
+                        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                    out[rows] = x
+            self.at[width] = out
+        return self.at[width]
+
+    def most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper bound of each pair's overlap: as many shingles at least are in one set only as bits differ."""
+        width, out = np.minimum(self.width[i], self.width[j]), np.zeros(len(i), np.int64)
+        for w in np.unique(width).tolist():
+            at, level = np.flatnonzero(width == w), self._level(w)
+            step = max(1, (1 << 19) // level.shape[1])
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step]
+                differ = np.bitwise_count(level[i[part]] ^ level[j[part]]).sum(1, dtype=np.int64)
+                out[part] = (self.n[i[part]] + self.n[j[part]] - differ) // 2
+        return out
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        most = self.most(i, j)
+        return 100 * most >= percent * (self.n[i] + self.n[j] - most)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = _overlap(a, b)
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _keys(names: _Names, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[int, int]] = set()
         for batch in batches:
             rows = batch.num_rows
-            n, ref, bits = np.zeros(rows, np.int32), np.zeros(rows, np.int64), [None] * rows
-            seen: dict[int, np.ndarray] = {}
+            n, ref, alt, bits = np.zeros(rows, np.int32), np.zeros(rows, np.int64), np.zeros(rows, np.int64), [None] * rows
+            seen: dict[tuple[int, int], np.ndarray] = {}
             for i, tokens in shingle_sets(batch.column(1)):
-                n[i], ref[i], bits[i] = len(tokens), _ident(tokens), _bits(tokens)
-                seen.setdefault(ref[i], tokens)
+                name = names.whole(tokens)
+                n[i], (ref[i], alt[i]) = len(tokens), name
+                if name not in held:
+                    held.add(name)
+                    bits[i] = _bits(tokens)
+                seen.setdefault(name, tokens)
             often: list[bytes | None] = [None] * rows
             if seen:
                 tokens, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 often[0] = np.stack([tokens[counts >= LOCAL].view(np.int64), counts[counts >= LOCAL]]).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ref, mask=n == 0), pa.array(bits, pa.binary()), pa.array(often, pa.binary())], ["doc_id", "n", "ref", "bits", "often"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ref, mask=n == 0), pa.array(alt, mask=n == 0), pa.array(bits, pa.binary()), pa.array(often, pa.binary()), *batch.columns[2:]], columns)
 
     return run
 
@@ -81,193 +134,273 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], ["token", "c"])
 
 
-def _postings(buckets: int, frequent, percent: int):
-    """Prefixes: the first tokens of a set, rare ones first, of which two linked sets share one at least."""
+def _bands(n: int, percent: int) -> list[int]:
+    """The band of sizes that a set of ``n`` shingles is in, powers of four, and the next where a partner can be there."""
+    band = (n.bit_length() - 1) // 2
+    return [band, band + 1] if n * 100 // percent >= 4 ** (band + 1) else [band]
+
+
+def _postings(buckets: int, frequent, names: _Names, percent: int, piece: int):
+    """Prefixes, in each of their bands: the first tokens of a set, rare ones first, of which two linked sets share one at least.
+
+    Postings of a token that more than ``piece`` sets have are dealt to pieces by the set, each in a row of its own
+    that names the tile.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, often_by = frequent.value
+        seen: set[int] = set()
         for batch in batches:
-            seen: dict[int, np.ndarray] = {}
+            prefixes: list[np.ndarray] = []
+            refs: list[int] = []
+            pieces: list[np.ndarray] = []
             for _, tokens in shingle_sets(batch.column(0)):
-                ref = _ident(tokens)
+                ref = names.ref(tokens)
                 if ref in seen:
                     continue
+                seen.add(ref)
                 n = len(tokens)
+                wanted = n - -(-percent * n // 100) + 1
+                times = np.zeros(n, np.int64)
                 if len(late):
                     at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
                     often = late[at] == tokens
-                    last = tokens[often]
-                    tokens = np.concatenate([tokens[~often], last[np.lexsort((last, often_by[at[often]]))]])
-                seen[ref] = tokens[: n - -(-percent * n // 100) + 1]
-            if not seen:
+                    times[often] = often_by[at[often]]
+                    order = np.lexsort((tokens, times))[:wanted]
+                    tokens, times = tokens[order], times[order]
+                for band in _bands(n, percent):
+                    prefixes.append(tokens[:wanted] ^ mix(np.array([band + 1], np.uint64)))
+                    refs.append(ref)
+                    pieces.append(times[:wanted] // piece + 1)
+            if not refs:
                 continue
-            tokens = np.concatenate(list(seen.values()))
-            refs = np.repeat(np.fromiter(seen, np.int64, len(seen)), [len(x) for x in seen.values()])
-            bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-            rest = (tokens >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, rest, refs = bucket[order], rest[order], refs[order]
-            used, at = np.unique(bucket, return_index=True)
-            ends = [*at[1:].tolist(), len(bucket)]
-            for lo in range(0, len(used), 256):
-                part = range(lo, min(lo + 256, len(used)))
-                yield pa.RecordBatch.from_arrays([pa.array(used[lo : lo + 256]), pa.array([rest[at[i] : ends[i]].tobytes() for i in part], pa.binary()), pa.array([refs[at[i] : ends[i]].tobytes() for i in part], pa.binary())], ["bucket", "rest", "refs"])
+            key = np.concatenate(prefixes)
+            ref = np.repeat(np.array(refs, np.int64), [len(x) for x in prefixes])
+            split = np.concatenate(pieces)
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            rest = (key >> np.uint64(32)).astype(np.uint32)
+            tile = (bucket << 32) | rest.astype(np.int64)
+            part = (mix(ref.view(np.uint64)) % split.astype(np.uint64)).astype(np.int64)
+            bucket = (bucket + part * 7919) % buckets
+            hot = split > 1
+            order = np.lexsort((np.where(hot, tile, -1), bucket))
+            bucket, rest, ref, tile, hot = bucket[order], rest[order], ref[order], tile[order], hot[order]
+            own = np.where(hot, tile, -1)
+            start = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1]))))
+            ends = [*start[1:].tolist(), len(bucket)]
+            for lo in range(0, len(start), 256):
+                some = range(lo, min(lo + 256, len(start)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[start[lo : lo + 256]]), pa.array(own[start[lo : lo + 256]]),
+                    pa.array([b"" if hot[start[i]] else rest[start[i] : ends[i]].tobytes() for i in some], pa.binary()),
+                    pa.array([ref[start[i] : ends[i]].tobytes() for i in some], pa.binary()),
+                ], ["bucket", "own", "rest", "refs"])
 
     return run
 
 
-def _tile(bucket: int, rest: np.ndarray, refs: np.ndarray) -> pa.RecordBatch | None:
-    order = np.lexsort((refs, rest))
-    rest, refs = rest[order], refs[order]
-    new = np.concatenate(([True], (rest[1:] != rest[:-1]) | (refs[1:] != refs[:-1])))
-    rest, refs = rest[new], refs[new]
-    start = np.flatnonzero(np.concatenate(([True], rest[1:] != rest[:-1])))
-    size = np.diff(np.concatenate((start, [len(rest)])))
-    if not (size > 1).any():
+TILES = "tile long, ref long, center long, before long, members int, piece boolean"
+
+
+def _tile(tile: np.ndarray, refs: np.ndarray, piece: bool) -> pa.RecordBatch | None:
+    """Rows of the tiles with two members or more (or of one piece of a tile), each with the smallest and the member before it."""
+    order = np.lexsort((refs, tile))
+    tile, refs = tile[order], refs[order]
+    new = np.concatenate(([True], (tile[1:] != tile[:-1]) | (refs[1:] != refs[:-1])))
+    tile, refs = tile[new], refs[new]
+    start = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+    size = np.diff(np.concatenate((start, [len(tile)])))
+    least = 1 if piece else 2
+    if not (size >= least).any():
         return None
     sign = np.add.reduceat((refs.view(np.uint64) ^ (refs.view(np.uint64) >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), start) + size.astype(np.uint64)
     one = np.zeros(len(start), bool)  # groups of the same members are kept once
-    one[np.unique(np.where(size > 1, sign, 0), return_index=True)[1]] = True
-    keep = np.repeat(one & (size > 1), size)
+    one[np.unique(np.where(size >= least, sign, 0), return_index=True)[1]] = True
+    keep = np.repeat(one & (size >= least), size)
     center, before = np.repeat(refs[start], size), np.concatenate((refs[:1], refs[:-1]))
     before[start] = refs[start]
-    tile, members = (np.int64(bucket) << 32) | rest.astype(np.int64), np.repeat(size, size).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tile, refs, center, before, members)], ["tile", "ref", "center", "before", "members"])
+    members = np.repeat(size, size).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (tile, refs, center, before, members)), pa.array(np.full(int(keep.sum()), piece))], ["tile", "ref", "center", "before", "members", "piece"])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups the postings of each bucket, which arrive together, by token; only tokens of two sets or more remain."""
-    now, rest, refs = None, [], []
+    """Groups the postings of each bucket, which arrive together, by token."""
+    now, held, hot = None, [], {}
 
     def close():
-        if rest and (out := _tile(now, np.concatenate(rest), np.concatenate(refs))) is not None:
+        if held and (out := _tile(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), False)) is not None:
             yield out
+        for tile, refs in hot.items():
+            refs = np.concatenate(refs)
+            yield _tile(np.full(len(refs), tile), refs, True)
 
     for batch in batches:
-        for bucket, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, own, rest, refs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != now:
                 yield from close()
-                now, rest, refs = bucket, [], []
-            rest.append(np.frombuffer(x, np.uint32))
-            refs.append(np.frombuffer(y, np.int64))
+                now, held, hot = bucket, [], {}
+            refs = np.frombuffer(refs, np.int64)
+            if own >= 0:
+                hot.setdefault(own, []).append(refs)
+            else:
+                held.append(((np.int64(bucket) << 32) | np.frombuffer(rest, np.uint32).astype(np.int64), refs))
     yield from close()
 
 
-def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each tile, which arrive together."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, which arrive together and are bounded."""
     held: list[pa.RecordBatch] = []
     now = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        tile = batch.column(0).to_numpy()
-        cut = np.flatnonzero(tile[1:] != tile[:-1]) + 1
-        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(tile)], strict=True):
-            if tile[lo] != now and held:
-                yield pa.Table.from_batches(held)
+        cell = batch.column(0).to_numpy()
+        cut = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(cell)], strict=True):
+            if cell[lo] != now and held:
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
-            now = tile[lo]
+            now = cell[lo]
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield pa.Table.from_batches(held)
-
-
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the tiles whose members are in several components so far, and at each tile's first the pairs across."""
-    for batch in _runs(batches):
-        tile, comp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        order = np.lexsort((comp, tile))
-        tile, comp = tile[order], comp[order]
-        new = np.concatenate(([True], tile[1:] != tile[:-1]))
-        part = np.flatnonzero(new | np.concatenate(([True], comp[1:] != comp[:-1])))
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(tile)))
-        own = np.diff(np.append(part, len(tile)))
-        within = np.add.reduceat(own * own, np.searchsorted(part, start))
-        across = np.zeros(len(tile), np.int64)
-        across[start] = (size * size - within) // 2
-        keep = np.repeat(size * size > within, size)
-        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(order[keep])) for c in batch.columns), pa.array(across[keep])], [*batch.schema.names, "across"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows with the last tile of each batch moved to the next, so that tiles are whole."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tile = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(tile, tile[-1])) if tile[0] <= tile[-1] else 0
-        if cut:
-            whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
-            yield from whole.to_batches()
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Cell:
+    """Members of a cell by size, the tiles that they share, and what is known of their pairs."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        self.percent = percent
+        rows = rows.take(pa.array(np.lexsort((rows.column("ref").to_numpy(), rows.column("n").to_numpy()))))
+        self.rows, (self.n, self.ref, self.comp, self.part) = rows, (rows.column(c).to_numpy() for c in ("n", "ref", "comp", "part"))
+        self.signs = _Signatures(self.n, rows.column("bits").to_pylist())
+        self.label = np.unique(self.comp, return_inverse=True)[1]
+        self.done = np.zeros((len(self.n),) * 2, bool)
+        self.top = np.searchsorted(self.n, self.n.astype(np.int64) * 100 // percent, "right")
+
+    def pairs(self, settled=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of pairs in different components that share a tile, have sizes and signatures that can link, and did
+        not come before; pairs of members that are both ``settled`` are left out."""
+        lists = self.rows.column("tiles").combine_chunks()
+        tile = lists.flatten().to_numpy()
+        who = np.repeat(np.arange(len(self.n)), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((who, tile))
+        tile, who = tile[order], who[order]
+        cut = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+        known: set[bytes] = set()
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(tile)], strict=True):
+            group = who[lo:hi]
+            if hi - lo < 2 or group.tobytes() in known:
+                continue
+            known.add(group.tobytes())
+            step = max(1, (1 << 18) // (hi - lo))
+            for at in range(0, hi - lo, step):
+                i, j = group[at : at + step, None], group[None, at:]
+                ok = (j > i) & (j < self.top[i]) & (self.label[i] != self.label[j]) & ~self.done[i, j] & ((self.part[i] != self.part[j]) | (self.part[i] < 0))
+                if settled is not None:
+                    ok &= ~(settled[i] & settled[j])
+                if not ok.any():
+                    continue
+                a, b = np.nonzero(ok)
+                a, b = i[a, 0], j[0, b]
+                self.done[a, b] = True
+                ok = self.signs.may_link(a, b, self.percent)
+                if ok.any():
+                    yield a[ok], b[ok]
 
 
-def _crossing(percent: int, some: int = 0, salt: int = 0):
-    """Pairs of members of a tile in different components so far, of sizes and signatures that can link.
+def _stirred(percent: int):
+    """Members of each cell that have a partner in another component whose signature leaves room for a link."""
 
-    A tile's members come by size, so that a member meets only the band of sizes that it can link with.  With ``some``
-    each member outside the tile's largest component meets only so many of that component.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            cell = _Cell(rows, percent)
+            hit = np.zeros(len(cell.n), bool)
+            for a, b in cell.pairs(hit):
+                hit[a] = hit[b] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cell.rows.column("center").to_numpy()[hit]), pa.array(cell.ref[hit])], ["center", "ref"])
+
+    return run
+
+
+def _joined(percent: int):
+    """Components that an exact link joins; what a cell has joined is not compared again, so it gives fewer rows than members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for tile in _by_tile(batches):
-            n, ref, comp, center = (tile.column(i).to_numpy() for i in (1, 2, 3, 4))
-            signs = [_Signature(*x) for x in zip(n.tolist(), tile.column(5).to_pylist(), strict=True)]
-            top, refs = np.searchsorted(n, n * 100 // percent, "right"), ref.tolist()
-            if some:
-                kinds, counts = np.unique(comp, return_counts=True)
-                main = np.flatnonzero(comp == kinds[counts.argmax()])
-            for i in range(len(ref)):
-                if some:
-                    if comp[i] == comp[main[0]]:
-                        continue
-                    draw = (refs[i] ^ (salt * 0x9E3779B97F4A7C15)) % (1 << 61)
-                    meet = [int(main[(draw // (7**t)) % len(main)]) for t in range(some)]
-                    meet = [k for k in meet if top[min(i, k)] > max(i, k)]
-                elif refs[i] == center[0]:
-                    continue
-                else:
-                    j = np.arange(i + 1, top[i])
-                    meet = j[(comp[j] != comp[i]) & (ref[j] != center[0])].tolist()
-                for k in meet:
-                    pair = (refs[i], refs[k]) if refs[i] < refs[k] else (refs[k], refs[i])
-                    if pair not in seen and signs[i].may_link(signs[k], percent):
-                        seen.add(pair)
-            if len(seen) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen, strict=True)], ["a", "b"])
-                seen.clear()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen, strict=True)], ["a", "b"])
+        for rows in _runs(batches):
+            cell = _Cell(rows, percent)
+            sets = [np.frombuffer(x, np.uint64) for x in cell.rows.column("tokens").to_pylist()]
+            out: list[tuple[int, int]] = []
+            for a, b in cell.pairs():
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    if cell.label[i] != cell.label[j] and _links(sets[i], sets[j], percent):
+                        out.append((int(cell.comp[i]), int(cell.comp[j])))
+                        cell.label[cell.label == cell.label[j]] = cell.label[i]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _cells(space: Workspace, rows: DataFrame, name: str, more: DataFrame | None = None) -> DataFrame:
+    """``rows`` (center, ref, comp, n, ...), and ``more`` by ref, dealt to cells, with ``cell`` first and ``part`` last.
+
+    The members of tiles with one centre make a cell.  Where they are many, or their sets are large, those of the
+    largest component and the others are cut into sides of bounded size; each side of the others meets each other
+    side in a cell of its own, and the sides of the largest component never meet one another.
+    """
+    by_comp = rows.groupBy("center", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    of = by_comp.groupBy("center").agg(F.max(F.struct("c", "comp", "w")).alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    sides = lambda c, w: F.greatest(F.lit(1), F.ceil(c / SIDE), F.ceil(w / WEIGHT))
+    large = of.where((F.col("c") > 2 * SIDE) | (F.col("w") > 2 * WEIGHT)).select(
+        F.col("center").alias("_center"), F.col("main.comp").alias("_main"),
+        sides(F.col("main.c"), F.col("main.w")).alias("_mains"), sides(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("_others"),
+    )
+    large = space.put(large, f"{name}-large")
+    if more is not None:
+        rows = rows.hint("merge").join(more, "ref")
+    met = rows.join(large, F.col("center") == F.col("_center"), "left")
+    draw = F.xxhash64("ref", F.lit(1))
+    i, k = F.pmod(draw, F.col("_others")), F.pmod(draw, F.col("_mains"))
+    cell = lambda kind, x, y: F.xxhash64("center", F.lit(kind), x, y)
+    one = lambda x, part: F.struct(x.alias("cell"), part.cast("int").alias("part"))
+    every = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+    of_main = every("_others", lambda x: one(cell(0, x, k), F.lit(0)))
+    of_rest = F.concat(
+        every("_mains", lambda x: one(cell(0, i, x), F.lit(1))),
+        every("_others", lambda x: one(cell(1, F.least(i, x), F.greatest(i, x)), F.when(i == x, -1).when(i < x, 0).otherwise(1))),
+    )
+    alone = F.array(one(F.col("center"), F.lit(-1)))
+    where = F.when(F.col("_center").isNull(), alone).when(F.col("comp") == F.col("_main"), of_main).otherwise(of_rest)
+    dealt = met.select(F.explode(where).alias("_at"), *rows.columns).select("_at.cell", *rows.columns, "_at.part")
+    return dealt.repartition(partitions(space.spark), "cell").sortWithinPartitions("cell")
+
+
 def _bounded(percent: int):
     """Pairs whose signatures leave room for enough common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = pa.array([_Signature(n, x).may_link(_Signature(m, y), percent) for n, m, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+            a, b, n, m, x, y = batch.columns
+            signs = _Signatures(np.concatenate([n.to_numpy(), m.to_numpy()]), x.to_pylist() + y.to_pylist())
+            at = np.arange(batch.num_rows)
+            ok = pa.array(signs.may_link(at, at + batch.num_rows, percent))
+            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
 
     return run
 
 
-def _sets(bloom):
+def _arrays(bloom, names: _Names):
+    """Sorted arrays of the sets that the filter admits, each once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bloom.value
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
             refs, sets, size = [], [], 0
             for _, tokens in shingle_sets(batch.column(0)):
-                ref = _ident(tokens)
+                ref = names.ref(tokens)
                 at = ref & (BLOOM - 1)
                 if ref not in seen and int(flags[at >> 6]) >> (at & 63) & 1:
                     seen.add(ref)
@@ -283,77 +416,122 @@ def _sets(bloom):
     return run
 
 
-def _links(percent: int):
+def _flags(refs: DataFrame):
+    """A filter of fixed size that admits the sets that ``refs`` names, and few others."""
+    at = F.col("ref").bitwiseAND(F.lit(BLOOM - 1))
+    words = refs.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((ref & {BLOOM - 1}) & 63 as int))")).alias("m")).toArrow()
+    flags = np.zeros(BLOOM // 64, np.uint64)
+    flags[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    return refs.sparkSession.sparkContext.broadcast(flags)
+
+
+def _admitted(bloom):
+    """The arrays that the filter admits; the others are not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = bloom.value
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (BLOOM - 1)
+            yield batch.filter(pa.array((flags[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return run
+
+
+def _checked(percent: int):
     """Exact check of each member against its centre, which comes first in its chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, center = None, np.zeros(0, np.uint64)
+        now, center, last = None, np.zeros(0, np.uint64), None
         for batch in batches:
             got: list[tuple[int, int]] = []
             for a, part, b, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(tokens, np.uint64)
                 if b is None:
-                    now, center = (a, part), own
+                    now, center, last = (a, part), own, None
                     continue
                 assert now == (a, part)
-                at = np.minimum(np.searchsorted(center, own), len(center) - 1)
-                common = int((center[at] == own).sum())
-                if 100 * common >= percent * (len(own) + len(center) - common):
+                if b != last and _links(own, center, percent):  # an array comes once for each task that met its set
                     got.append((a, b))
+                last = b
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verify(space: Workspace, docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
-    spark = space.spark
+def _candidates(space: Workspace, reps: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
+    """Pairs whose sizes and signatures leave room for a link."""
     own = lambda k: reps.select(F.col("ref").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     sized = pairs.join(own("a"), "a").join(own("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    left = space.put(sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_bounded(percent), "a long, b long"), f"{name}-bounded")
-    if left.isEmpty():
-        return left
-    at = F.col("ref").bitwiseAND(F.lit(BLOOM - 1))
-    words = (
-        left.select(F.explode(F.array("a", "b")).alias("ref"))
-        .groupBy(F.shiftright(at, 6).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast((ref & {BLOOM - 1}) & 63 as int))")).alias("m"))
-        .toArrow()
-    )
-    flags = np.zeros(BLOOM // 64, np.uint64)
-    flags[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
-    sets = docs.select("text").mapInArrow(_sets(spark.sparkContext.broadcast(flags)), "ref long, tokens binary")
+    return space.put(sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_bounded(percent), "a long, b long"), f"{name}-bounded")
+
+
+def _verify(space: Workspace, left: DataFrame, arrays: DataFrame, percent: int, name: str) -> DataFrame:
     many = left.groupBy("a").count().where(F.col("count") > CHUNK)
     parted = left.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1))).alias("part"))
     centers = parted.select(F.col("a").alias("ref"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
     roles = space.put(centers.unionByName(parted.select(F.col("b").alias("ref"), "a", "part", "b")), f"{name}-roles")
-    met = roles.hint("merge").join(sets, "ref").select("a", "part", "b", "tokens").repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "b")
-    return space.put(met.mapInArrow(_links(percent), "a long, b long").distinct(), f"{name}-links")
+    arrays = arrays.mapInArrow(_admitted(_flags(roles.select("ref"))), arrays.schema)
+    met = roles.hint("merge").join(arrays, "ref").select("a", "part", "b", "tokens").repartition(partitions(space.spark), "a", "part").sortWithinPartitions("a", "part", "b")
+    return space.put(met.mapInArrow(_checked(percent), "a long, b long"), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are not read).
+def _renamed(keys: DataFrame, reps: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Keys in which different sets that share their first 64 bits have different names, and these names.
+
+    Of N sets about N * N / 2 ** 65 share them: three of ten billion.
+    """
+    shared = reps.where("least <> most").select("ref", "least")
+    rows = keys.select("ref", "alt").join(shared, "ref").where("alt <> least").distinct().withColumn("name", F.xxhash64("ref", "alt")).collect()
+    twins = {(r.ref, r.alt): r.name for r in rows}
+    if twins:
+        names = keys.sparkSession.createDataFrame([(*k, v) for k, v in twins.items()], "ref long, alt long, _name long")
+        keys = keys.join(names, ["ref", "alt"], "left").withColumn("ref", F.coalesce("_name", "ref")).drop("_name")
+    return keys, twins
+
+
+def _sum(column: Column) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, keep: tuple[str, ...] = (), group: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; of other columns those in ``keep``).
 
     A document's set holds the distinct five-word shingles of its text, A-Z lower-cased; with fewer words the whole
     sequence is one shingle; a text without words, or a null one, has an empty set, links with nothing and is its own
-    component.  Sets are 64-bit shingle hashes and are known by a 64-bit hash.  Two sets link when their Jaccard
-    similarity is ``percent`` hundredths or more; links are exact and none is lost:
+    component.  Shingles are known by 64 hash bits, sets by 128.  Two sets link when their Jaccard similarity is
+    ``percent`` hundredths or more; links are exact and none is lost:
 
     1. equal sets are one node, so copies are never paired;
-    2. two linked sets share a token of their prefixes (frequent shingles last), which makes the tiles; each member of
-       a tile is checked against its smallest member and the one before it, and what links becomes components;
+    2. two linked sets share a token of their prefixes (frequent shingles last) within a band of sizes, which makes the
+       tiles; each member of a tile is checked against its smallest member and the one before it, and what links
+       becomes components;
     3. where tiles could still make many pairs, members meet a few of the tile's largest component, for some rounds;
-       then all members of a tile in different components meet within the band of sizes that can link;
-    4. every pair passes the bound that its bitmap signatures give before the sorted arrays are intersected.
+    4. members of a tile that are in different components meet in cells of bounded size.  A first pass over signatures
+       leaves the members that have a partner whose overlap, bounded by the bits, suffices; a second intersects their
+       sorted arrays, joins components as it finds links, and gives one row for each component joined.
 
-    Repeated rows each get a row; a null doc_id takes part and never is a component's id unless all are null.  An
-    empty table gives an empty result.
+    Repeated rows each get a row; a null doc_id takes part and never is a component's id unless all are null.  With
+    ``group`` a column of that name tells components apart, also those; it is null for empty sets.  An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = space.put(docs.mapInArrow(_keys(percent), "doc_id long, n int, ref long, bits binary, often binary"), "keys")
-    reps = space.put(keys.where("n > 0").groupBy("ref").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "reps")
-    total = reps.agg(F.count("*").alias("sets"), F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("postings")).first()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)])
+    schema = T.StructType().add("doc_id", "long").add("n", "integer").add("ref", "long").add("alt", "long").add("bits", "binary").add("often", "binary")
+    schema = T.StructType([*schema.fields, *docs.schema.fields[2:]])
+    keys = space.put(docs.mapInArrow(_keys(_Names(NAME, {}), schema.names), schema), "keys")
+
+    def sets(keys: DataFrame, name: str) -> DataFrame:
+        best = [F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits", True).alias("bits"), F.min("alt").alias("least"), F.max("alt").alias("most")]
+        return space.put(keys.where("n > 0").groupBy("ref").agg(*best), name)
+
+    reps = sets(keys, "reps")
+    total = reps.agg(_sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("postings"), F.count_if(F.col("least") != F.col("most")).alias("shared")).first()
+    twins: dict[tuple[int, int], int] = {}
+    if total.shared:
+        keys, twins = _renamed(keys, reps)
+        reps = sets(keys, "reps-renamed")
+    names = _Names(NAME, twins)
     counted = keys.where("often is not null").select("often").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     often = space.put(counted.where(F.col("c") >= FREQUENT), "often")
     least = FREQUENT  # rises until the shingles that count as frequent are MOST at most, which bounds what is broadcast
@@ -363,33 +541,70 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     tokens, times = late["token"].to_numpy().view(np.uint64), late["c"].to_numpy()
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], times[order].astype(np.int64)))
-    buckets = int(max(partitions(spark), (total.postings or 0) // BUCKET))
-    dealt = docs.select("text").mapInArrow(_postings(buckets, frequent, percent), "bucket long, rest binary, refs binary")
-    tiles = space.put(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles, "tile long, ref long, center long, before long, members int"), "tiles")
-    near = tiles.select(F.explode(F.array("center", "before")).alias("a"), F.col("ref").alias("b")).where("a <> b").distinct()
-    links = _verify(space, docs, reps, near, percent, "near")
-    large = tiles.where(F.col("members") > 3).select("tile", "ref", "center")  # smaller ones have met all pairs by now
+    buckets = int(max(partitions(spark), total.postings // BUCKET))
+    dealt = docs.select("text").mapInArrow(_postings(buckets, frequent, names, percent, PIECE), "bucket long, own long, rest binary, refs binary")
+    tiles = space.put(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles, TILES), "tiles")
+    # The smallest members of a tile's pieces meet the smallest of all.
+    tops = tiles.where("piece").groupBy("tile").agg(F.min("center").alias("top"), F.count("*").alias("whole"))
+    tops = space.put(tops, "tops")
+    near = tiles.select(F.explode(F.array("center", "before")).alias("a"), F.col("ref").alias("b"))
+    near = near.unionByName(tiles.where("piece and ref = center").join(tops, "tile").select(F.col("top").alias("a"), F.col("ref").alias("b")))
+    left = _candidates(space, reps, near.where("a <> b").distinct(), percent, "near")
+    # Tiles of three members have met all pairs by now.
+    large = tiles.where("piece or members > 3").join(tops, "tile", "left").select("tile", "ref", F.coalesce("top", "center").alias("center"))
+    large = space.put(large, "large")
+    need = left.select(F.explode(F.array("a", "b")).alias("ref")).unionByName(large.select("ref"))
+    # Written once; whatever intersects arrays later reads them here.
+    arrays = space.put(docs.select("text").mapInArrow(_arrays(_flags(need), names), "ref long, tokens binary"), "arrays")
+    links = _verify(space, left, arrays, percent, "near")
     for turn in range(ROUNDS + 1):
-        comps = components(space, links, f"cc{turn}")
-        known = space.put(reps.join(comps.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "n", "bits", F.coalesce("comp", "ref").alias("comp")), f"known{turn}")
-        by_tile = large.join(known.select("ref", "comp"), "ref").select("tile", "comp", "ref", "center").repartition(partitions(spark), "tile").sortWithinPartitions("tile")
-        unsettled = space.put(by_tile.mapInArrow(_open, "tile long, comp long, ref long, center long, across long"), f"unsettled{turn}")
-        left = unsettled.agg(F.count("*").alias("rows"), F.sum("across").alias("pairs")).first()
-        if not left.rows:
+        comps = components(space, links, f"cc{turn}").withColumnRenamed("node", "ref")
+        known = space.put(large.join(comps, "ref", "left").select("tile", "ref", "center", F.coalesce("comp", "ref").alias("comp")), f"known{turn}")
+        counts = known.groupBy("tile", "comp").agg(F.count("*").alias("c"))
+        size, within = F.sum("c").cast("double"), F.sum(F.col("c").cast("double") * F.col("c"))
+        found = counts.groupBy("tile").agg(F.count("*").alias("comps"), size.alias("size"), ((size * size - within) / 2).alias("pairs"), F.max(F.struct("c", "comp"))["comp"].alias("main"))
+        unsettled = space.put(found.where("comps > 1"), f"unsettled{turn}")
+        open_ = unsettled.agg(_sum(F.col("size")).alias("rows"), _sum(F.col("pairs")).alias("pairs")).first()
+        if turn == ROUNDS or open_.pairs <= CROWDED * open_.rows:
             break
-        some = 0 if turn == ROUNDS or left.pairs <= CROWDED * left.rows else SOME
-        banded = unsettled.drop("comp", "across").join(known, "ref").select("tile", "n", "ref", "comp", "center", "bits")
-        # Tiles of one cluster mostly share their smallest member: dealt by it, a pair is made twice at most, not in each tile.
-        banded = banded.repartition(partitions(spark), "center", F.pmod("tile", F.lit(2))).sortWithinPartitions("center", "tile", "n")
-        found = _verify(space, docs, reps, banded.mapInArrow(_crossing(percent, some, turn), "a long, b long").distinct(), percent, f"crossing{turn}")
-        none = found.isEmpty()
-        if not none:
-            links = links.unionByName(found)
-        if not some:
-            comps = comps if none else components(space, links, "cc")
-            break
-    labelled = space.put(reps.select("ref", "rep").join(comps.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "rep", F.coalesce("comp", "ref").alias("comp")), "labelled")
-    least = space.put(labelled.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
-    final = space.put(labelled.join(least, "comp").select("ref", "component_id"), "final")
-    out = keys.select("doc_id", "n", "ref").join(final, "ref", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        met = known.join(unsettled.select("tile", "main"), "tile")
+        picks = met.where("comp = main").groupBy("tile").agg(F.array(*[F.min_by("ref", F.xxhash64("ref", F.lit(turn * SOME + t))) for t in range(SOME)]).alias("picks"))
+        asked = met.where("comp <> main").join(space.put(picks, f"picks{turn}"), "tile").select(F.explode("picks").alias("a"), F.col("ref").alias("b")).distinct()
+        links = links.unionByName(_verify(space, _candidates(space, reps, asked, percent, f"some{turn}"), arrays, percent, f"some{turn}"))
+    signs = reps.select("ref", "n", "bits")
+    members = known.join(unsettled.select("tile"), "tile").groupBy("center", "ref", "comp").agg(F.collect_list("tile").alias("tiles")).join(signs, "ref")
+    members = space.put(members.select("center", "ref", "comp", "n", "bits", "tiles"), "members")
+    stirred = space.put(_cells(space, members, "stir").mapInArrow(_stirred(percent), "center long, ref long").distinct(), "stirred")
+    last = None
+    if not stirred.isEmpty():
+        active = space.put(members.join(stirred, ["center", "ref"]), "active")
+        once = arrays.mapInArrow(_admitted(_flags(stirred.select("ref"))), arrays.schema).groupBy("ref").agg(F.first("tokens").alias("tokens"))
+        dealt = _cells(space, active, "join", once)
+        last = components(space, space.put(dealt.mapInArrow(_joined(percent), "a long, b long").distinct(), "joined"), "last")
+    labelled = reps.select("ref", "rep", "copies").join(comps, "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
+    if last is not None:
+        labelled = labelled.join(last.select(F.col("node").alias("comp"), F.col("comp").alias("_last")), "comp", "left").withColumn("comp", F.coalesce("_last", "comp")).drop("_last")
+    labelled = space.put(labelled, "labelled")
+    groups = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
+    final = space.put(labelled.join(space.put(groups, "groups"), "comp").select("ref", "component_id", "comp"), "final")
+    out = keys.join(final, "ref", "left")
+    more = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)] + [F.coalesce("comp", "ref").alias("group")] * group
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` less near copies: of each group of linked rows that with the smallest doc_id stays, of several with this
+    the one whose text has the smallest digest, and of rows equal in doc_id and text one.
+
+    Rows without a doc_id come last in their group.  Rows without words are linked with nothing and stay, but for such
+    repeats.  All columns pass through; an empty table gives an empty result.
+    """
+    space = Workspace(docs.sparkSession, "groups")
+    digest = F.md5("text")
+    found = near_duplicates(docs.select("doc_id", "text", digest.alias("digest")), percent, ("digest",), True)
+    found = space.put(found.where("group is not null").select("group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("row")), "found")
+    first = space.put(found.groupBy("group").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1"), "first")
+    gone = found.join(first, "group").where("row <> first").select(row_key("row.doc_id", "row.digest").alias("_gone")).distinct()
+    left = docs.withColumn("_row", row_key("doc_id", digest)).hint("merge").join(space.put(gone, "gone"), F.col("_row") == F.col("_gone"), "left_anti")
+    nth = F.row_number().over(W.partitionBy("_row").orderBy(F.lit(0)))  # shares the join's exchange
+    return left.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

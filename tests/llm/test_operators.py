@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -85,6 +86,53 @@ def test_near_duplicates_after_linear_rounds(spark, monkeypatch):
     assert got == clusters(docs)
 
 
+@pytest.mark.parametrize("constants", [{"PIECE": 5, "FREQUENT": 3}, {"SIDE": 7}, {"WEIGHT": 900}, {"NAME": 4}])
+def test_near_duplicates_in_pieces_cells_and_with_shared_names(spark, monkeypatch, constants):
+    for k, v in constants.items():
+        monkeypatch.setattr(jaccard, k, v)
+    base = " ".join(f"t{i}" for i in range(120))
+    # Some 250 copies, far enough from each other that only some of them link.
+    docs = [*near(7, base, 150, 0.035), *near(8, base, 100, 0.03), *invented(12, 40, 3, 60), *EDGES]
+    got = {r.doc_id: tuple(r) for r in jaccard.near_duplicates(documents(spark, docs)).collect()}
+    assert got == clusters(docs)
+
+
+def linked_below_and_above(words=100, edits=(11, 12, 13, 14, 15)):
+    """Texts that differ from one in the last words only: a few more or fewer shingles than the least share."""
+    base = [f"v{i}" for i in range(words)]
+    return [" ".join(base), *(" ".join(base[: words - k] + [f"u{k}x{i}" for i in range(k)]) for k in edits)]
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    docs = linked_below_and_above()
+    want = clusters(docs)
+    assert len({c for _, _, c in want.values()}) > 1 and any(c != i for i, _, c in want.values())
+    assert {r.doc_id: tuple(r) for r in jaccard.near_duplicates(documents(spark, docs)).collect()} == want
+
+
+def test_near_duplicates_of_rows_without_ids(spark):
+    text = "a b c d e f g"
+    rows = [(None, text), (None, text), (7, text), (None, "p q r s t u"), (3, "p q r s t u v w x y z"), (None, None)]
+    got = sorted(map(tuple, jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(None, 3, 7), (None, 3, 7), (7, 3, 7), (None, 2, None), (3, 7, 3), (None, 0, None)], key=repr)
+
+
+def thue_morse(bits):
+    x = "0"
+    for _ in range(bits):
+        x += x.translate(str.maketrans("01", "10"))
+    return x.translate(str.maketrans("01", "ab")), x.translate(str.maketrans("01", "ba"))
+
+
+@pytest.mark.parametrize("bits", [10, 11, 13])
+def test_hashes_keep_words_apart(spark, bits):
+    x, y = thue_morse(bits)
+    assert [r.n_dropped for r in lines.dedup_lines(documents(spark, [x] * 5 + [y] * 5)).collect()] == [0] * 10
+    assert {r.component_id for r in jaccard.near_duplicates(documents(spark, [x, y])).collect()} == {0, 1}
+    assert quality.count_batch(pa.array([f"{x}\n{y}\n{x}"]))["n_dup_lines"].tolist() == [1]
+    assert len({h for s in toxicity._distinct(pa.array([f"{x} {y}"])) for h in s.tolist()} - {h for s in toxicity._distinct(pa.array([x])) for h in s.tolist()}) >= 1
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(documents(spark, [])).collect() == []
     twice = documents(spark, ["a b c d e f"]).union(documents(spark, ["a b c d e f"]))
@@ -139,6 +187,22 @@ def test_lines(spark, monkeypatch, chars, common):
     assert lines.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_lines_counted_beyond_sixteen_bits(spark, monkeypatch):
+    monkeypatch.setattr(lines, "COMMON", 10**9)
+    monkeypatch.setattr(lines, "MOST", 1)
+    docs = spark.range(70_000).selectExpr("id doc_id", "'Same' text")
+    assert [r.n for r in lines.dedup_lines(docs, 66_000).selectExpr("sum(n_dropped) n").collect()] == [70_000]
+    assert [r.n for r in lines.dedup_lines(docs, 70_001).selectExpr("sum(n_dropped) n").collect()] == [0]
+
+
+def test_lines_of_rows_without_ids_and_of_great_length(spark):
+    long = "x y " * 200_000
+    rows = [(None, f"a\n{long}\nb{i}") for i in range(9)] + [(5, f"{long}\nA"), (5, "a "), (5, "a "), (None, None), (None, "c")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = deduplicated([t for _, t in rows])
+    assert sorted((r.n_lines, r.n_dropped, r.text) for r in got) == sorted(want)
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 1 << 63, (2, 20000), dtype=np.uint64)
@@ -221,8 +285,8 @@ def test_pieces(spark):
 
 def test_warc(spark):
     rows = [(i, f"http://x/{i}", h) for i, h in enumerate([None, "", "a", "b", "a", "é\r\n\r\nWARC/1.1", "a", "big" * 200_000, "", "b"])]
-    rows += [(6, "http://x/again", "a"), (None, None, "a"), (None, None, "alone")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows += [(6, "http://x/again", "a"), (None, None, "a"), (None, None, "alone"), (None, None, "alone"), (3, "u", "b"), (3, "u", "c"), (3, "u", "c"), (20, None, "d"), (19, None, "d"), (19, None, "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as record_type", "2 as _digest")
     bundles = warc.write_bundles(pages)
     got = sorted(((r.page_id if r.page_id is not None else -1), r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.payload) for r in warc.read_bundles(bundles).collect())
     last = {}
@@ -234,10 +298,18 @@ def test_warc(spark):
         first = i == last[h or ""]
         want.append((i, "response" if first else "revisit", None if first else last[h or ""], len(body), warc.digest(body), (h or "") if first else None))
     assert got == sorted(want, key=lambda x: (x[0], x[1]))
+    names, refers = [], []
     for b in bundles.collect():
         for r in b.records:
             head, _ = warc.fetch(bytes(b.data), r.frame, r.offset)
             assert head["WARC-Record-ID"] == f"<{r.name}>"
+            names.append(r.name)
+            refers.append(head.get("WARC-Refers-To", f"<{r.name}>")[1:-1])
+    assert len(set(names)) == len(rows) and set(refers) <= set(names)
+    some = [names[0], names[-1], names[5], names[5], None, "urn:page:none"]
+    fetched = warc.fetch_records(bundles, spark.createDataFrame([(x,) for x in some], "name string")).collect()
+    assert sorted(r.name for r in fetched) == sorted({names[0], names[-1], names[5]})
+    assert all(r.record_type == "revisit" or warc.digest(bytes(r.block)) in r.name for r in fetched)
     least = {r.page_id: r.record_type for r in warc.read_bundles(warc.write_bundles(pages, 2)).collect()}
     assert least[2] == least[0] == "response"
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).collect() == []
@@ -247,8 +319,7 @@ def test_warc(spark):
 
 
 def test_topk(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 40)
-    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "WAVE", 200)
     rng = np.random.default_rng(2)
     rows = [(int(i), rng.normal(size=10).round(1).tolist()) for i in range(260)]
     rows += [(300, None), (350, [1.0, None]), (400, [float("inf")] * 10), (450, [1e9] * 10), (500, []), (550, rows[3][1]), (551, rows[3][1]), (None, [1.0])]
@@ -265,6 +336,50 @@ def test_topk(spark, monkeypatch):
     assert [tuple(r) for r in topk.top_k(spark.createDataFrame([(0, [1.0]), (50, [1.0])], "vec_id long, embedding array<float>")).collect()] == [(0, 1, 50, 65536), (50, 1, 0, 65536)]
 
 
+@pytest.mark.parametrize("low, high", [(-3, 4), (-30_000, 30_000), (-(1 << 27), 1 << 27)])
+def test_topk_with_ties_and_few_that_reach_the_cutoff(spark, low, high):
+    rng = np.random.default_rng(3)
+    # Few vectors are long, so the norms of the lists leave most of the others out.
+    rows = [(int(i), (rng.integers(low, high, 12) * (1 if i % 40 == 0 else 0.01)).astype(int).astype(float).tolist()) for i in range(600)]
+    whole = np.array([v for _, v in rows]).astype(int).astype(object)
+    want = []
+    for q in range(0, 600, 50):
+        dots = whole @ whole[q]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(sorted((-int(x), c) for c, x in enumerate(dots) if c != q)[:5])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), scale=1)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_topk_prunes_by_the_cutoff(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(50, 100, (20, 8)), rng.integers(-3, 4, (5000, 8))]).astype(float)
+    ids, q = np.arange(len(x)), x[:20]
+    best = [sorted((-int(x[c] @ v), c) for c in range(len(x)) if c != i)[:5] for i, v in enumerate(q)]
+    scored = []
+    plain = topk._product
+    monkeypatch.setattr(topk, "_product", lambda a, b: scored.append(len(b)) or plain(a, b))
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([8] * len(x), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "size", "v"])
+    out = next(iter(topk._rest(Sent((ids[:20], q)), Sent(np.array([-b[4][0] for b in best])), 5)(iter([batch]))))
+    rows = sorted(zip(*(c.to_pylist() for c in out.columns)), key=lambda r: (r[0], -r[2], r[1]))
+    assert [(r[0], r[1]) for r in rows] == [(i, int(c)) for i, b in enumerate(best) for _, c in b]
+    assert sum(scored) < 0.5 * topk.LISTS * len(x)
+
+
+def test_topk_of_long_scores_and_repeated_rows(spark):
+    big = [(0, [2.0**31]), (1, [2.0**23]), (2, [2.0**22]), (3, [-(2.0**31)])]
+    got = topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), every=4, scale=1).collect()
+    assert [tuple(r)[1:] for r in got] == [(1, 1, 1 << 54), (2, 2, 1 << 53), (3, 3, -(1 << 62))]
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>"), scale=1).collect()
+    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [3.0]), (2, [2.0]), (2, [2.0]), (4, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(twice, 3, scale=1).collect()] == [(0, 1, 1, 3), (0, 2, 2, 2), (0, 3, 2, 2)]
+
+
 # Toxicity --------------------------------------------------------------------------------------------------------
 
 
@@ -300,6 +415,13 @@ def test_swaps_do_not_move_scores():
     assert gap(fair) < 0.25 * gap(unfair)
 
 
+def test_toxicity_trained_in_tasks_and_at_hand_agree(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels.where("crc32(cast(doc_id as string)) % 5 <> 0"), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").toPandas()
+    far, near = toxicity.train(docs, labels), toxicity.fit(list(known.text), list(known.toxic))
+    assert len(known) < toxicity.SAMPLE and far.keys.tolist() == near.keys.tolist() and np.allclose(far.weights, near.weights) and far.bias == pytest.approx(near.bias)
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark, EDGES)
     model = toxicity.fit(["bad word", "good word"] * 20, [1, 0] * 20)
@@ -340,6 +462,82 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0)).collect() == []
 
 
+def robust_distances(rows):
+    """rows: (counts, lang, source) of the texts that have not failed; the squared distance of each."""
+    def vector(c):
+        n = max(c[0], 1)
+        v = [np.log(n + 1), c[1] / n, np.log1p(100 * c[2] / n) / 2, np.log1p(100 * c[3] / n), np.log1p(100 * c[4] / n)]
+        return np.floor(np.array(v) * 1000 + 0.5) / 1000
+
+    x = np.array([vector(c) for c, _, _ in rows])
+    own, of_lang = Counter((g, s) for _, g, s in rows), Counter(g for _, g, _ in rows)
+    floor = np.array(quality.FLOOR)
+
+    def fitted(x):
+        whole = lambda v: np.floor(v * 1000 + 0.5) / 1000
+        q = np.percentile(x, [25, 50, 75], axis=0)
+        spread = np.maximum((q[2] - q[0]) / 1.349, floor)
+        z = (x - q[1]) / spread
+        length = np.linalg.norm(z, axis=1, keepdims=True)
+        signs = whole(np.divide(z, length, out=np.zeros_like(z), where=length > 0))
+        shapes = [np.eye(5), signs.T @ signs / len(x) * 5, np.corrcoef(whole(np.tanh(z)).T) if len(x) > 1 else np.eye(5)]
+        best = None
+        for shape in shapes:
+            centre, cov = q[1], np.outer(spread, spread) * np.nan_to_num(shape)
+            for step in range(quality.STEPS + 1):
+                cov = cov + np.diag(floor**2)
+                inverse = np.linalg.inv(cov)
+                if step == quality.STEPS:
+                    break
+                bins = np.floor(np.log1p(np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)) * 64)
+                order = np.sort(bins)
+                core = x[[np.searchsorted(order, b) < quality.CORE * len(x) for b in bins]]
+                centre = core.mean(0)
+                cov = quality.WIDEN * ((core - centre).T @ (core - centre) / len(core))
+            size = np.linalg.slogdet(cov)[1]
+            if best is None or size < best[0]:
+                best = size, centre, inverse
+        return best[1:]
+
+    out, held = [], {}
+    for v, (_, g, s) in zip(x, rows, strict=True):
+        key = (g, s) if own[g, s] >= quality.LEAST else (g,) if of_lang[g] >= quality.LEAST else ()
+        if key not in held:
+            held[key] = fitted(x[[(a, b)[: len(key)] == key for _, a, b in rows]])
+        centre, inverse = held[key]
+        out.append((v - centre) @ inverse @ (v - centre))
+    return out
+
+
+def test_quality_against_numpy(spark):
+    r = random.Random(11)
+    texts, groups = [], []
+    for lang, source, n in (("en", "a", 300), ("en", "b", 60), ("en", "lonely", 3), ("fr", "c", 30), (None, None, 50), ("de", "d", 2)):
+        for t in invented(len(texts), n, 20, 150):
+            texts.append(r.choice([t, t, t, t.replace(" ", " # ", r.randint(0, 30)), t + "\nsame line\n" * r.randint(0, 3)]))
+            groups.append((lang, source))
+    garbage = "|#$%& ** <<>> " * 40 + " ".join(str(i) for i in range(40))
+    for g in (("en", "lonely"), ("en", "a"), ("fr", "c"), ("de", "d")):
+        texts.append(garbage)
+        groups.append(g)
+    docs = spark.createDataFrame([(i, t, *g) for i, (t, g) in enumerate(zip(texts, groups, strict=True))], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.quality(docs).collect()}
+    good = [i for i in range(len(texts)) if not got[i].base_failed]
+    want = robust_distances([(counts(texts[i]), *groups[i]) for i in good])
+    assert len(good) > 400
+    for i, d in zip(good, want, strict=True):
+        assert got[i].distance == pytest.approx(d, rel=1e-6, abs=1e-6), (i, groups[i])
+        assert got[i].kept == (d <= quality.CUTOFF)
+    # A lone source's garbage is measured by its language, not by itself.
+    assert not any(got[i].kept for i in range(len(texts) - 4, len(texts)))
+
+
+def test_quality_of_labelled_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality(docs).join(labels, "doc_id").select("quality", "kept", "base_failed").toPandas()
+    assert (rows.kept | rows.base_failed)[rows.quality == 1].mean() > 0.99 and rows[rows.quality == 0].kept.mean() < 0.1
+
+
 # Secrets ---------------------------------------------------------------------------------------------------------
 
 
@@ -364,6 +562,20 @@ def test_secrets_against_sql(spark):
     assert secrets.scan(docs.limit(0)).collect() == []
 
 
+def test_secrets_of_texts_full_of_matches(spark):
+    import time
+
+    token = "aB3" * 8
+    one = f"user=bob {token} password=hunter22 " + "0123456789abcdef" * 2 + " "
+    rows = [(None, one * 4000), (1, one * 2), (1, one * 2), (None, None)]
+    began = time.time()
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert time.time() - began < 30
+    by = sorted((r.n_assign, r.n_access, r.n_hex, r.spans.count(",") + 1 if r.spans else 0) for r in got)
+    assert by == [(0, 0, 0, 0), (2, 0, 2, 8), (2, 0, 2, 8), (4000, 0, 4000, 16000)]
+    assert len({r.spans for r in got if r.doc_id == 1}) == 1
+
+
 # HTML ------------------------------------------------------------------------------------------------------------
 
 
@@ -381,6 +593,65 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+def test_html_takes_time_in_proportion_to_the_page():
+    import time
+
+    known = frozenset(html.trained().weights)
+    pages = ["<a " * 350_000 + '"', "<b>" * 60_000 + "</i>" * 60_000, "<i><div>" + "<b>" * 60_000 + "</i>" * 60_000, "<div>x" * 30_000, "<b>" * 30_000 + "<li>x" * 30_000, "<a b='" * 100_000, "<script>" * 100_000, "<!--" * 100_000, "<" * 500_000]
+    pages.append("".join(f"<div class={'abcdefgh'[i % 8] * (i % 300)}>x" for i in range(10_000)))
+    for page in pages:
+        began = time.process_time()
+        html.leaf_blocks(page, known)
+        assert time.process_time() - began < 2, page[:20]
+
+
+def test_html_blocks():
+    texts = lambda page: [b.text for b in html.leaf_blocks(page)]
+    assert texts("<p>a < b<p>c<!-- x > y --> d<br>e<hr>f") == ["a < b", "c d e", "f"]
+    assert texts("<script>if (a<b && c==\"</p>\") x()</script><p title='>'>y</p>") == ["y"]
+    assert texts("<ul><li>a<li>b<ul><li>c</ul>d</ul>e") == ["a", "b", "c", "d", "e"]
+    assert texts("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
+    assert texts("<p class=\"never closed>a</p>") == ["a"]
+    assert texts("<!") == texts("<!--") == texts("") == [] and texts("<p>x<a href=") == ["x"]
+
+
+def test_html_likeliest_labels_by_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    for n in range(1, 9):
+        blocks = [html.Block(f"word {i}.", i % 3, ("<div", f".c{i}"), "div") for i in range(n)]
+        names = {f for own in html.features(blocks) for f in own}
+        field = html.Field({f: float(rng.normal()) for f in sorted(names)}, rng.normal(size=(2, 2)) * 2)
+        score = [sum(field.weights[f] for f in own) for own in html.features(blocks)]
+        total = lambda y: sum(s for s, t in zip(score, y, strict=True) if t) + sum(field.steps[int(a), int(b)] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        assert field.decode(blocks) == list(max(product([False, True], repeat=n), key=total))
+
+
+def test_html_gradient_by_differences():
+    rng = np.random.default_rng(6)
+    data = html.Sequences([html.label(*p) for p in html.labelled_pages(4, 9)])
+    w, steps = rng.normal(size=len(data.names)) / 3, rng.normal(size=(2, 2))
+    _, g, gs = data.loss(w, steps)
+    for i in [*rng.choice(len(w), 25, replace=False)]:
+        d = np.zeros(len(w))
+        d[i] = 1e-5
+        assert g[i] == pytest.approx((data.loss(w + d, steps)[0] - data.loss(w - d, steps)[0]) / 2e-5, abs=1e-7)
+    for i in range(4):
+        d = np.zeros((2, 2))
+        d.flat[i] = 1e-5
+        assert gs.flat[i] == pytest.approx((data.loss(w, steps + d)[0] - data.loss(w, steps - d)[0]) / 2e-5, abs=1e-7)
+
+
+def test_html_keeps_every_article_block(spark):
+    wanted = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        blocks = html.leaf_blocks(r.html or "")
+        wanted[r.page_id] = "\n".join(b.text for b in blocks if "<article" in b.path and not {".comment", ".comments"} & set(b.path))
+    got = {r.page_id: r.text for r in html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert got == wanted
+
+
 # Registered queries and the pipeline -----------------------------------------------------------------------------
 
 
@@ -398,6 +669,47 @@ def test_registered(spark, name):
         assert sorted(rel.columns) == columns and got == sorted(map(repr, rel.select(*columns).fetchall()))
 
 
+def targets(docs):
+    own = {r.doc_id: r.source for r in docs.collect()}
+    return {own[r.doc_id]: r.target for r in mixing.mix_sources(docs).collect()}
+
+
+def test_stages_tell_rows_apart(spark):
+    import corpus_pipeline as P
+
+    text = "a b c d e f g h"
+    other = "p q r s t u v w x"
+    rows = [(1, text), (2, text), (2, other), (2, other), (None, text), (None, other + " y"), (None, "alone and by itself"), (None, None), (3, None), (3, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s" if i else None, 0) for i, t in rows], DOC)
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, DIR).collect()), key=repr)
+    assert got == sorted([(1, text), (2, other), (None, "alone and by itself"), (None, None), (3, None), (3, ""), (4, "")], key=repr)
+    assert jaccard.one_of_each_group(docs.limit(0)).collect() == []
+    mixed = P.mix(spark, docs, DIR).collect()
+    assert all(r.text for r in mixed) and mixing.mix_documents(docs.limit(0)).collect() == []
+    lined = P.dedup_lines(spark, docs, DIR).collect()
+    assert sorted((r.text for r in lined), key=repr) == sorted((t or "" for _, t in rows), key=repr)
+    model = toxicity.fit(["bad word", "good word", "good"] * 20, [1, 0, 0] * 20)
+    assert P.remove_toxic(spark, docs, DIR).columns == list(P.COLUMNS)
+    named = docs.selectExpr("doc_id", "text", "1 score", "2 as `Score 2`", "3 as _text")
+    assert toxicity.remove_toxic(named, model).columns == named.columns and toxicity.remove_toxic(named, model).count() == len(rows)
+    assert sorted(r.n_tokens for r in P.tokenize(spark, docs, DIR).collect())[:4] == [0, 0, 0, 0]
+
+
+def test_mixed_documents_reach_the_targets(spark):
+    r = random.Random(2)
+    texts = [" ".join(["w"] * r.choice([1, 3, 10, 50, 200, 900])) + f" {i}" for i in range(3000)]
+    docs = documents(spark, texts, ["big"] * 8 + ["b", "a", None]).selectExpr("*", "1 as size", "2 as times")
+    again = docs.union(docs.limit(500))
+    for given in (docs, again, docs.selectExpr("cast(null as long) doc_id", "text", "source")):
+        mixed = mixing.mix_documents(given)
+        assert mixed.columns == given.columns
+        got = {x.source: x.n for x in mixed.selectExpr("source", "size(split(text, ' ')) as n").groupBy("source").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+        sizes = {x.source: x.n for x in given.selectExpr("source", "size(split(text, ' ')) as n").groupBy("source").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+        order = sorted(s for s in sizes if s is not None) + [None]
+        want = filled(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+        assert all(abs(got[s] - want[s]) <= 0.01 * want[s] for s in want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
@@ -418,8 +730,12 @@ def test_pipeline(spark):
     assert {r.doc_id for r in single.collect()} == {ids[k] for k, (i, _, c) in groups.items() if i == c}
     mixed = space.put(P.mix(spark, single, DIR), "3")
     times = Counter(r.doc_id for r in mixed.collect())
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(re.findall(WORD, r.text))
     for r in mixing.mix_sources(single).collect():
-        assert times[r.doc_id] == (int(r.taken / r.size + 0.5) if r.size else 0)
+        assert times[r.doc_id] <= 2 and (times[r.doc_id] > 0) <= (r.size > 0)
+    assert all(abs(words[s] - t) <= 0.01 * t + 5 for s, t in targets(single).items())
     last = P.tokenize(spark, mixed, DIR)
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for r in last.limit(50).collect():
