@@ -8,198 +8,242 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ._space import Workspace, partitions
+from recordlab.session import ship
 
-#: Lists that a score is the sum of; candidates and queries of a cell; queries that are scored together.
-LISTS, CANDIDATES, QUERIES, TOGETHER = 4, 4096, 2048, 128
+from ._space import Workspace
+
+#: Lists that a score is the sum of, entries of each list's head, bytes of the queries of a wave on average.
+LISTS, HEAD, WAVE = 4, 64, 16 << 20
+#: Queries that are scored together, components of the candidates that they are scored against at once.
+TOGETHER, BLOCK = 256, 1 << 19
 LONG = np.iinfo(np.int64)
+#: Components are kept as the narrowest of these that holds a vector's; the last holds any whole number exactly as a double does.
+KINDS = {2: np.dtype("<i2"), 4: np.dtype("<i4"), 8: np.dtype("<f8")}
 
 
 def _vectors(scale: int):
-    """Integer vectors; null ones, and those with a null or a component that is not finite, are left out."""
+    """Whole-number vectors; null ones, and those with a null or a component that is not finite, are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = v.values
-                if i is None or values is None or values.null_count:
-                    continue
-                x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(x).all():
-                    ids.append(i)
-                    out.append(np.clip(np.floor(scale * x), -(2.0**62), 2.0**62).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
+            ids, lists = batch.column(0), batch.column(1)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            x = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # a null becomes NaN
+            bad = np.concatenate(([0], np.cumsum(~np.isfinite(x))))
+            good = (bad[offsets[1:]] == bad[offsets[:-1]]) & ~np.asarray(lists.is_null()) & ~np.asarray(ids.is_null())
+            with np.errstate(invalid="ignore", over="ignore"):
+                x = np.floor(scale * x)
+            sizes, out = [], []
+            for i in np.flatnonzero(good).tolist():
+                own = x[offsets[i] : offsets[i + 1]]
+                most = float(np.abs(own).max(initial=0))
+                if most == np.inf:
+                    raise OverflowError("a component leaves the range of a double when it is scaled")
+                size = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+                sizes.append(size)
+                out.append(own.astype(KINDS[size]).tobytes())
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "size", "v"])
 
     return run
 
 
-def _matrix(rows: list[bytes], wide: int) -> np.ndarray:
-    out = np.zeros((len(rows), wide), np.int64)
-    for i, r in enumerate(rows):
-        x = np.frombuffer(r, np.int64)
+def _matrix(sizes: list[int], rows: list[bytes], wide: int = 0) -> np.ndarray:
+    """The vectors as doubles, shorter ones padded with zeros."""
+    lengths = {len(r) // s for s, r in zip(sizes, rows, strict=True)}
+    wide = max([wide, *lengths])
+    if len(set(sizes)) == 1 and lengths == {wide}:
+        return np.frombuffer(b"".join(rows), KINDS[sizes[0]]).reshape(len(rows), wide).astype(np.float64)
+    out = np.zeros((len(rows), wide))
+    for i, (s, r) in enumerate(zip(sizes, rows, strict=True)):
+        x = np.frombuffer(r, KINDS[s])
         out[i, : len(x)] = x
     return out
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T: in floating point where every sum is below its precision, else in Python's integers."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Exact a @ b.T: in floating point where every sum is below its precision, else in Python's integers.
+
+    Products beyond the range of a long become its ends, which :func:`_whole` does not let pass.
+    """
+    most = _most(a, b)
     if most < 1 << 24:
         return (a.astype(np.float32) @ b.T.astype(np.float32)).astype(np.int64)
     if most < 1 << 53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return np.clip(a.astype(object) @ b.T.astype(object), LONG.min // 8, LONG.max // 8).astype(np.int64)
+        return (a @ b.T).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    out = whole(a).astype(object) @ whole(b.T).astype(object)
+    return np.clip(out, LONG.min, LONG.max).astype(np.int64)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]):
-    """Queries, then candidates, of each cell, which arrive together: (ids, vectors, cutoffs), (ids, vectors)."""
-    now, q, c = None, [], []
-    for batch in batches:
-        for cell, kind, vec_id, v, cut in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if cell != now and now is not None:
-                if q and c:
-                    yield q, c
-                q, c = [], []
-            now = cell
-            (q if kind == 0 else c).append((vec_id, v, cut))
-    if q and c:
-        yield q, c
-
-
-def _parts(q: list, c: list) -> Iterator[tuple[np.ndarray, list, np.ndarray, list[np.ndarray], np.ndarray]]:
-    wide = max(len(x[1]) for x in (*q, *c)) // 8
-    cut = [wide * j // LISTS for j in range(LISTS + 1)]
-    cid, cm = np.array([x[0] for x in c], np.int64), _matrix([x[1] for x in c], wide)
-    for lo in range(0, len(q), TOGETHER):
-        part = q[lo : lo + TOGETHER]
-        qid, qm = np.array([x[0] for x in part], np.int64), _matrix([x[1] for x in part], wide)
-        yield qid, [x[2] for x in part], cid, [_product(qm[:, a:b], cm[:, a:b]) for a, b in zip(cut, cut[1:], strict=False)], cid[None, :] == qid[:, None]
-
-
-def _first(k: int):
-    """Phase 1: each list's best entries for each query within the cell, and its least entry."""
+def _most(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for q, c in _cells(batches):
-            out = []
-            for qid, _, cid, scores, own in _parts(q, c):
-                for j, s in enumerate(scores):
-                    s = np.where(own, LONG.min, s)
-                    n = min(k, len(cid))
-                    top = np.argpartition(-s.astype(np.float64), n - 1, axis=1)[:, :n]
-                    least = np.where(own, LONG.max, scores[j]).min(1)
-                    for i in range(len(qid)):
-                        at = top[i][s[i, top[i]] != LONG.min]
-                        out.append({"query_id": int(qid[i]), "list": j, "ids": cid[at].tolist(), "parts": s[i, at].tolist(), "least": int(least[i])})
-            yield pa.RecordBatch.from_pylist(out, schema=FIRST)
 
-    return run
+def _whole(score: np.ndarray) -> np.ndarray:
+    if len(score) and (score.min() == LONG.min or score.max() == LONG.max):
+        raise OverflowError("a score leaves 64 bits")
+    return score
 
 
-FIRST = pa.schema([("query_id", pa.int64()), ("list", pa.int32()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())), ("least", pa.int64())])
+def _trim(row: np.ndarray, vec_id: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each row, by score, then smaller id."""
+    order = np.lexsort((vec_id, ~score, row))
+    row, vec_id, score = row[order], vec_id[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], vec_id[keep], score[keep]
 
 
-def _cutoffs(k: int):
-    """The k-th best sum of what phase 1 knows bounds the k-th score from below; a uniform share of it is each list's cutoff."""
+class _Best:
+    """The best entries of each query so far, and the score below which no other counts."""
 
-    def close(rows: list) -> np.ndarray:
-        least = [min((r[4] for r in rows if r[1] == j), default=0) for j in range(LISTS)]
-        sums: dict[int, int] = {}
-        for j in range(LISTS):
-            best = sorted((p, i) for r in rows if r[1] == j for i, p in zip(r[2], r[3], strict=True))[-k:]
-            for p, i in best:
-                sums[i] = sums.get(i, sum(least)) + p - least[j]
-        if len(sums) < k:
-            return np.array([*least, *[LONG.min // 8] * LISTS, LONG.min // 8], np.int64)
-        t = sorted(sums.values())[-k]
-        return np.array([*least, *[x + (t - sum(least)) // LISTS for x in least], t], np.int64)
+    def __init__(self, rows: int, k: int, bound: np.ndarray):
+        self.k, self.bound, none = k, bound.copy(), np.zeros(0, np.int64)
+        self.row, self.vec_id, self.score = none, none, none
+
+    def add(self, row: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> None:
+        if not len(row):
+            return
+        self.row, self.vec_id, self.score = _trim(np.concatenate([self.row, row]), np.concatenate([self.vec_id, vec_id]), np.concatenate([self.score, score]), self.k)
+        last = np.flatnonzero(np.arange(len(self.row)) - np.searchsorted(self.row, self.row) == self.k - 1)
+        self.bound[self.row[last]] = np.maximum(self.bound[self.row[last]], self.score[last])
+
+    def offer(self, scores: np.ndarray, ids: np.ndarray, own: np.ndarray, lo: int) -> None:
+        """A block of scores of the queries from ``lo``."""
+        rows, n = scores.shape
+        bound = self.bound[lo : lo + rows]
+        if n > 4 * self.k:
+            bound = np.maximum(bound, np.partition(np.where(own, LONG.min, scores), n - self.k, axis=1)[:, n - self.k])
+        row, col = np.nonzero((scores >= bound[:, None]) & ~own)
+        self.add(*_trim(row + lo, ids[col], scores[row, col], self.k))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the candidates, a bounded number of components at once, as wide as the queries at least."""
+    for batch in batches:
+        step = max(1, BLOCK // max(1, wide))
+        for lo in range(0, batch.num_rows, step):
+            part = batch.slice(lo, step)
+            yield part.column(0).to_numpy(), _matrix(part.column(1).to_pylist(), part.column(2).to_pylist(), wide)
+
+
+def _sorted_lists(x: np.ndarray, cut: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each list by the norm of the vectors' part in it, which bounds a partial score: order and norms, high ones first."""
+    out = []
+    for a, b in zip(cut, cut[1:], strict=False):
+        norm = np.sqrt((x[:, a:b] ** 2).sum(1)) * (1 + 1e-9)
+        order = np.argsort(-norm, kind="stable")
+        out.append((order, norm[order]))
+    return out
+
+
+def _cut(wide: int) -> list[int]:
+    return [wide * j // LISTS for j in range(LISTS + 1)]
+
+
+def _heads(wave, k: int):
+    """Phase 1: each query's best scores among the heads of a task's lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            out = []
-            for r in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if r[0] != now and rows:
-                    out.append((now, close(rows).tobytes()))
-                    rows = []
-                now = r[0]
-                rows.append(r)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["vec_id", "cut"])
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([close(rows).tobytes()], pa.binary())], ["vec_id", "cut"])
+        qid, q = wave.value
+        best = _Best(len(qid), k, np.full(len(qid), LONG.min))
+        for ids, x in _blocks(batches, q.shape[1]):
+            head = np.unique(np.concatenate([order[:HEAD] for order, _ in _sorted_lists(x, _cut(x.shape[1]))]))
+            ids, x = ids[head], x[head, : q.shape[1]]
+            for lo in range(0, len(qid), TOGETHER):
+                best.offer(_product(q[lo : lo + TOGETHER], x), ids, ids[None, :] == qid[lo : lo + TOGETHER, None], lo)
+        yield pa.RecordBatch.from_arrays([pa.array(qid[best.row]), pa.array(best.score)], ["query_id", "score"])
 
     return run
 
 
-def _rest(k: int):
-    """Phases 2 and 3: entries that reach a list's cutoff, less those whose upper bound is too low, resolved exactly."""
+def _rest(wave, cutoffs, k: int):
+    """Phases 2 and 3: entries that reach the uniform share of the cutoff in a list, resolved exactly.
+
+    A score that reaches the cutoff reaches its share in some list; in a list only the entries count whose norms let
+    them reach it, which come first.  Where these are few the partial scores are taken of them alone, and only pairs
+    that reach a share are resolved; else the lists are summed as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for q, c in _cells(batches):
-            a, b, s = [], [], []
-            for qid, cuts, cid, scores, own in _parts(q, c):
-                cut = np.stack([np.frombuffer(x, np.int64) if x is not None else np.full(2 * LISTS + 1, LONG.min // 8) for x in cuts])
-                low, high, any_list = np.zeros(own.shape, np.int64), np.zeros(own.shape, np.int64), np.zeros(own.shape, bool)
-                for j, x in enumerate(scores):
-                    t = cut[:, LISTS + j, None]
-                    sent = x >= t
-                    any_list |= sent
-                    low += np.where(sent, x, cut[:, j, None])
-                    high += np.where(sent, x, np.maximum(t - 1, cut[:, j, None]))
-                any_list &= ~own
-                bound = cut[:, -1]
-                if own.shape[1] > k:
-                    low = np.where(any_list, low, LONG.min)
-                    bound = np.maximum(bound, np.partition(low, own.shape[1] - k, axis=1)[:, own.shape[1] - k])
-                left = any_list & (high >= bound[:, None])
-                row, col = np.nonzero(left)
-                exact = sum(x[row, col] for x in scores)
-                order = np.lexsort((cid[col], -exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = place < k
-                a.append(qid[row[keep]])
-                b.append(cid[col[keep]])
-                s.append(exact[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, s)], ["query_id", "vec_id", "score"])
+        (qid, q), cutoff = wave.value, cutoffs.value
+        best = _Best(len(qid), k, cutoff)
+        wide, cut = q.shape[1], _cut(q.shape[1])
+        norms = [np.sqrt((q[:, a:b] ** 2).sum(1)) * (1 + 1e-9) for a, b in zip(cut, cut[1:], strict=False)]
+        for ids, x in _blocks(batches, wide):
+            x = x[:, :wide]
+            lists = _sorted_lists(x, cut)
+            for lo in range(0, len(qid), TOGETHER):
+                part, bound = q[lo : lo + TOGETHER], best.bound[lo : lo + TOGETHER]
+                share, first = (bound.astype(np.float64) - np.abs(bound.astype(np.float64)) * 1e-15) / LISTS, []
+                for (_, norm), own in zip(lists, norms, strict=True):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        least = np.where(share <= 0, -1.0, share / own[lo : lo + TOGETHER])
+                    first.append(int(np.searchsorted(-norm, -np.nanmin(least, initial=np.inf), "right")))
+                if sum(first) * 2 > LISTS * len(ids):
+                    scores = sum(_product(part[:, a:b], x[:, a:b]) for a, b in zip(cut, cut[1:], strict=False)) if _most(part, x) < 1 << 53 else _product(part, x)
+                    best.offer(scores, ids, ids[None, :] == qid[lo : lo + TOGETHER, None], lo)
+                    continue
+                pairs = []
+                for (order, _), n, a, b in zip(lists, first, cut, cut[1:], strict=False):
+                    row, col = np.nonzero(_product(part[:, a:b], x[order[:n], a:b]) >= share[:, None])
+                    pairs.append(row * len(ids) + order[col])
+                row, col = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
+                other = ids[col] != qid[row + lo]
+                row, col = row[other], col[other]
+                for at in range(0, len(row), 1 << 16):
+                    r, c = row[at : at + (1 << 16)], col[at : at + (1 << 16)]
+                    score = _dots(part[r], x[c])
+                    high = score >= best.bound[r + lo]
+                    best.add(*_trim(r[high] + lo, ids[c[high]], score[high], k))
+        yield pa.RecordBatch.from_arrays([pa.array(qid[best.row]), pa.array(best.vec_id), pa.array(_whole(best.score))], ["query_id", "vec_id", "score"])
 
     return run
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices, exact."""
+    if _most(a, b) < 1 << 53:
+        return np.einsum("ij,ij->i", a, b).astype(np.int64)
+    return np.array([int(_product(x[None], y[None])[0, 0]) for x, y in zip(a, b, strict=True)], np.int64)
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score: each query's ``k`` highest inner products among all other rows.
 
     ``vectors`` has vec_id and embedding.  Components become floor(scale * x); a shorter vector counts as padded with
-    zeros.  Queries are rows whose vec_id is divisible by ``every``.  Ties go to the smaller vec_id; a query with fewer
-    partners has them all.  Null vectors and ids, and vectors with a null or a component that is not finite, take no
-    part.  Repeated ids are one another's own row, never partners.  Scores are exact up to 2^60.
-
-    A score is the sum of four partial ones, each a list.  Cells of 4096 candidates and 2048 queries score in three
-    phases: best entries of each list; a cutoff for each query and list that no answer can miss in all lists; exact
-    scores of the entries that reach it and whose upper bound is high enough.
+    zeros.  Queries are the ids of rows whose vec_id is divisible by ``every``; of several rows with such an id one
+    asks.  Ties go to the smaller vec_id; a query with fewer partners has them all.  Null vectors and ids, and vectors
+    with a null or a component that is not finite, take no part.  Rows with one id never are partners of that id;
+    otherwise each of them is a candidate of its own.  Scores are exact; a score that leaves 64 bits is an error.  An
+    empty table gives an empty result.
+
+    Candidates are read where they lie.  The queries go to them in waves of about 16 MB, and each wave runs in three
+    phases: each task's best scores among the heads of its lists are gathered; the k-th best of all is a cutoff that is
+    safe, and goes back; tasks collect the entries that reach its uniform share in a list, resolve them exactly and
+    give their ``k`` best.  So a wave moves at most k rows for each query and task.
     """
-    spark = vectors.sparkSession
+    spark = ship(vectors.sparkSession)
     space = Workspace(spark, "topk")
-    table = space.put(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_vectors(scale), "vec_id long, v binary"), "vectors")
-    size = table.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    wide, high = max(1, -(-size.n // CANDIDATES)), max(1, -(-size.q // QUERIES))
-    group = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    cell = lambda a, b: a * high + b
-    candidates = table.withColumn("g", group(wide)).select(F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("h"), "g", "vec_id", "v").select(cell(F.col("g"), F.col("h")).alias("cell"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("cut"))
-    queries = table.where(F.col("vec_id") % every == 0)
-
-    def dealt(with_cut: DataFrame) -> DataFrame:
-        asked = with_cut.withColumn("h", group(high)).select(F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("g"), "h", "vec_id", "v", "cut").select(cell(F.col("g"), F.col("h")).cast("long").alias("cell"), F.lit(0).alias("kind"), "vec_id", "v", "cut")
-        return candidates.unionByName(asked).repartition(max(partitions(spark), min(wide * high, 100_000)), "cell").sortWithinPartitions("cell", "kind")
-
-    lists = dealt(queries.withColumn("cut", F.lit(None).cast("binary"))).mapInArrow(_first(k), "query_id long, list int, ids array<long>, parts array<long>, least long")
-    cuts = space.put(lists.repartition(partitions(spark), "query_id").sortWithinPartitions("query_id").mapInArrow(_cutoffs(k), "vec_id long, cut binary"), "cuts")
-    best = dealt(queries.join(cuts, "vec_id", "left")).mapInArrow(_rest(k), "query_id long, vec_id long, score long")
-    from pyspark.sql.window import Window as W
-
+    table = space.put(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_vectors(scale), "vec_id long, size int, v binary"), "vectors")
+    asking = table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("size", "v")).alias("own")).select("vec_id", "own.*")
+    asking = space.put(asking, "asking")
+    waves = int((asking.agg(F.sum(F.length("v") * 8 / F.col("size"))).first()[0] or 0) // WAVE) + 1
+    found = []
+    for i in range(waves):
+        rows = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == i).toArrow().sort_by("vec_id")
+        if not rows.num_rows:
+            continue
+        qid = rows["vec_id"].to_numpy()
+        wave = spark.sparkContext.broadcast((qid, _matrix(rows["size"].to_pylist(), rows["v"].to_pylist())))
+        heads = table.mapInArrow(_heads(wave, k), "query_id long, score long")
+        high = heads.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc()))).where(F.col("r") <= k)
+        known = high.groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", "cutoff").toArrow()
+        cutoff = np.full(len(qid), LONG.min)
+        cutoff[np.searchsorted(qid, known["query_id"].to_numpy())] = known["cutoff"].to_numpy()
+        found.append(space.put(table.mapInArrow(_rest(wave, spark.sparkContext.broadcast(cutoff), k), "query_id long, vec_id long, score long"), f"best/wave={i}"))
+    best = spark.read.schema("query_id long, vec_id long, score long").parquet(f"{space.root}/best") if found else spark.createDataFrame([], "query_id long, vec_id long, score long")
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -208,7 +252,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
 ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM q JOIN v c ON q.vec_id <> c.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
