@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ._space import Workspace, partitions
 from ._text import LOWER, SPACE, chunks, mix, span_hashes, spans
 
-#: Keys in a shard; least count, and share of the rows, of keys whose arrays every task holds itself.
-SHARD, COMMON, SHARE = 1_000_000, 1000, 10_000
+#: Keys in a shard; least count, and greatest number, of keys whose arrays every task holds itself; bits of the filter of the others.
+SHARD, COMMON, MOST, FILTER = 1_000_000, 1000, 100_000, 1 << 25
 LEVELS = 48
 
 
@@ -47,7 +47,7 @@ class PerfectHash:
 
     def __init__(self, levels: list[np.ndarray], rest: np.ndarray):
         self.levels, self.rest = levels, rest
-        self.ranks = [np.concatenate(([0], np.cumsum(bits))) for bits in levels]
+        self.ranks = [np.concatenate((np.zeros(1, np.int32), np.cumsum(bits, dtype=np.int32))) for bits in levels]
         self.base = np.concatenate(([0], np.cumsum([int(r[-1]) for r in self.ranks]))).astype(np.int64)
 
     @staticmethod
@@ -113,44 +113,53 @@ def _count(min_chars: int):
     return run
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrays of each shard, whose keys arrive together: fingerprints and counts in the order of the perfect hash."""
-    now, held = None, []
+def _build(min_docs: int):
+    """Arrays of each shard, whose keys arrive together: fingerprints and counts in the order of the perfect hash.
 
-    def close():
+    Counts beyond ``min_docs`` say no more than that number, so they stop there; their type follows from it.
+    """
+    kind = np.min_scalar_type(min_docs)
+
+    def arrays(shard: int, held: list) -> pa.RecordBatch:
         x, y, c = (np.concatenate(v) for v in zip(*held, strict=True))
         x, y = x.view(np.uint64), y.view(np.uint64)
         table = PerfectHash.build(x, y)
         at = table.index(x, y)
-        prints, counts = np.zeros(len(x), np.uint32), np.zeros(len(x), np.uint16)
-        prints[at], counts[at] = (y >> np.uint64(32)).astype(np.uint32), np.minimum(c, 65535)
+        prints, counts = np.zeros(len(x), np.uint32), np.zeros(len(x), kind)
+        prints[at], counts[at] = (y >> np.uint64(32)).astype(np.uint32), np.minimum(c, min_docs)
         levels, rest = table.pack()
-        return pa.RecordBatch.from_pylist([{"shard": now, "levels": levels, "rest": rest, "prints": prints.tobytes(), "counts": counts.tobytes()}])
+        return pa.RecordBatch.from_pylist([{"shard": shard, "levels": levels, "rest": rest, "prints": prints.tobytes(), "counts": counts.tobytes()}])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            shard, *rest = (c.to_numpy() for c in batch.columns)
+            cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
+            for lo, hi in zip(cut, [*cut[1:], len(shard)], strict=True) if len(shard) else ():
+                if shard[lo] != now and held:
+                    yield arrays(now, held)
+                    held = []
+                now = int(shard[lo])
+                held.append(tuple(v[lo:hi] for v in rest))
+        if held:
+            yield arrays(now, held)
 
-    for batch in batches:
-        shard, *rest = (c.to_numpy() for c in batch.columns)
-        cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
-        for lo, hi in zip(cut, [*cut[1:], len(shard)], strict=True) if len(shard) else ():
-            if shard[lo] != now and held:
-                yield close()
-                held = []
-            now = int(shard[lo])
-            held.append(tuple(v[lo:hi] for v in rest))
-    if held:
-        yield close()
+    return run
 
 
 def _ask(common, shards: int, min_chars: int):
-    """A row for each document and key that is not common, for the shard that knows its count."""
+    """A row for each document and key that is not common but that the filter admits, for the shard that knows its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
+        *known, admitted = common.value
         for batch in batches:
             for row, data, offsets in chunks(batch.column(1)):
                 text, _, x, y = _keys(data, offsets, min_chars)
+                at = (y & np.uint64(FILTER - 1)).astype(np.int64)
+                text, x, y = (v[(admitted[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)] for v in (text, x, y))
                 one = _once(y, x, text)
                 one = one[~_in(known, x[one], y[one])]
-                yield pa.RecordBatch.from_arrays([pa.array(x[one].view(np.int64) % shards), pa.array(x[one].view(np.int64)), pa.array(y[one].view(np.int64)), batch.column(0).take(pa.array(text[one] + row))], ["shard", "x", "y", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[one].view(np.int64) % shards), pa.array(x[one].view(np.int64)), pa.array(y[one].view(np.int64)), batch.column(0).take(pa.array(text[one] + row))], ["shard", "x", "y", "row"])
 
     return run
 
@@ -165,6 +174,7 @@ def _in(known, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _answer(min_docs: int):
     """Arrays come first in each shard; each key that follows is looked up in them."""
+    kind = np.min_scalar_type(min_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table, prints, counts = None, None, None, None
@@ -175,7 +185,7 @@ def _answer(min_docs: int):
                 if shards[lo] != now:
                     now = shards[lo]
                     levels, rest, prints, counts = (batch.column(i)[int(lo)].as_py() for i in (4, 5, 6, 7))
-                    table, prints, counts = PerfectHash.unpack(levels, rest), np.frombuffer(prints, np.uint32), np.frombuffer(counts, np.uint16)
+                    table, prints, counts = PerfectHash.unpack(levels, rest), np.frombuffer(prints, np.uint32), np.frombuffer(counts, kind)
                     lo += 1
                 part = batch.slice(int(lo), int(hi - lo))
                 if not part.num_rows:
@@ -183,14 +193,14 @@ def _answer(min_docs: int):
                 x, y = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (1, 2))
                 at = table.index(x, y)
                 drop = (at >= 0) & (prints[at] == (y >> np.uint64(32)).astype(np.uint32)) & (counts[at] >= min_docs)
-                yield pa.RecordBatch.from_arrays([part.column(3).filter(pa.array(drop)), part.column(1).filter(pa.array(drop))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(3).filter(pa.array(drop)), part.column(1).filter(pa.array(drop))], ["row", "x"])
 
     return run
 
 
 def _keep(common, min_chars: int, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
+        known = common.value[:3]
         for batch in batches:
             drops = batch.column(batch.num_columns - 1).to_pylist()
             n_lines, n_dropped, kept = [], [], []
@@ -222,6 +232,16 @@ def _keep(common, min_chars: int, text_at: int, names: list[str]):
     return run
 
 
+def _filter(counts: DataFrame, min_docs: int, below: int) -> np.ndarray:
+    """Flags, by a part of the hash, of the keys that are found often enough but not held by every task."""
+    at = F.col("y").bitwiseAND(F.lit(FILTER - 1))
+    bits = F.bit_or(F.expr(f"shiftleft(1L, cast((y & {FILTER - 1}) & 63 as int))"))
+    words = counts.where((F.col("c") >= min_docs) & (F.col("c") < below)).groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(bits.alias("m")).toArrow()
+    flags = np.zeros(FILTER // 64, np.uint64)
+    flags[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    return flags
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with ``text`` less the lines that many documents share, and n_lines and n_dropped (long).
 
@@ -229,11 +249,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     line stripped of ASCII white space at both ends, with A-Z lower-cased.  Keys of ``min_chars`` code points or more
     found in ``min_docs`` rows or more lose all their lines in every row; lines with shorter keys stay.  Each row
     counts as a document, also when rows repeat or doc_id is null.  Other columns pass through; columns of the
-    input called n_lines or n_dropped are replaced.  An empty table gives an empty result.
+    input called n_lines or n_dropped are replaced.  Lines of any length are hashed whole.  An empty table gives an
+    empty result.
 
     Keys are known by 128 hash bits.  Counts of all distinct keys are dealt to shards; each shard has a minimal
-    perfect hash that indexes 32-bit fingerprints and 16-bit counts.  Keys of at least 1/10,000 of the rows (and 1000)
-    are so few that each task holds their perfect hash itself, so no shard gets a hot key's rows.
+    perfect hash that indexes 32-bit fingerprints and counts.  Documents probe it only for keys that a filter of fixed
+    size admits as found often enough.  The keys found most often, 100,000 at most, have their perfect hash in each
+    task, so no shard gets a hot key's rows.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "lines")
@@ -242,21 +264,22 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     counts = space.put(docs.select("text").mapInArrow(_count(min_chars), "x long, y long, c long").groupBy("x", "y").agg(F.sum("c").alias("c")), "counts")
     size = counts.agg(F.count("*").alias("keys"), F.sum("c").alias("lines")).first()
     shards = int(max(partitions(spark), size.keys // SHARD))
-    # At most SHARE keys for each line that an average document has.
-    hot = counts.where(F.col("c") >= max(COMMON, min_docs, docs.count() // SHARE)).select("x", "y").toArrow()
+    often = max(COMMON, min_docs, (size.lines or 0) // MOST + 1)  # so MOST keys at most are found as often
+    hot = counts.where(F.col("c") >= often).select("x", "y").toArrow()
     xs, ys = (hot[k].to_numpy().view(np.uint64) for k in ("x", "y"))
     table = PerfectHash.build(xs, ys)
     place = np.argsort(table.index(xs, ys))
-    common = spark.sparkContext.broadcast((table, xs[place], ys[place]))
+    common = spark.sparkContext.broadcast((table, xs[place], ys[place], _filter(counts, min_docs, often)))
     dealt = counts.select(F.pmod("x", F.lit(shards)).cast("long").alias("shard"), "x", "y", "c")
-    arrays = space.put(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, levels binary, rest binary, prints binary, counts binary"), "arrays")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = docs.select("doc_id", "text").mapInArrow(_ask(common, shards, min_chars), f"shard long, x long, y long, doc_id {kind}")
-    both = arrays.selectExpr("shard", "cast(null as long) x", "cast(null as long) y", f"cast(null as {kind}) doc_id", "levels", "rest", "prints", "counts").unionByName(asked, allowMissingColumns=True)
-    met = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("x").asc_nulls_first())
-    drops = space.put(met.mapInArrow(_answer(min_docs), f"doc_id {kind}, x long").groupBy("doc_id").agg(F.collect_set("x").alias("_gone")), "drops")
+    arrays = space.put(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_build(min_docs), "shard long, levels binary, rest binary, prints binary, counts binary"), "arrays")
+    # A key that is dropped is dropped in every row, so rows that this hash does not tell apart may share what they drop.
+    row = F.xxhash64("doc_id", "text")
+    asked = docs.select(row.alias("row"), "text").mapInArrow(_ask(common, shards, min_chars), "shard long, x long, y long, row long")
+    both = arrays.selectExpr("shard", "cast(null as long) x", "cast(null as long) y", "cast(null as long) row", "levels", "rest", "prints", "counts").unionByName(asked, allowMissingColumns=True)
+    met = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("x").isNotNull())
+    drops = space.put(met.mapInArrow(_answer(min_docs), "row long, x long").groupBy("row").agg(F.collect_set("x").alias("_gone")), "drops")
     names = docs.columns
-    joined = docs.alias("d").hint("merge").join(drops.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select(*[F.col(f"d.`{c}`") for c in names], F.col("g._gone"))
+    joined = docs.alias("d").hint("merge").join(drops.alias("g"), F.xxhash64("d.doc_id", "d.text") == F.col("g.row"), "left").select(*[F.col(f"d.`{c}`") for c in names], F.col("g._gone"))
     schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(_keep(common, min_chars, names.index("text"), schema.names), schema)
 
