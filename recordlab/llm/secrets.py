@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ._space import Workspace
 
@@ -22,32 +23,29 @@ WEAK = (
 #: What each kind can stand for, and the code points that may lie between parts of one credential.
 ROLE = {"assign": "s", "access": "i", "hex": "s", "id": "i", "secret": "s", "endpoint": "e"}
 SCOPE = 256
-SPAN = "array<struct<start:long,`order`:int,kind:string,stop:long>>"
+PIECE = "array<struct<`order`:int,gap:int,hit:int,ok:boolean>>"
 
 
-def _spans(order: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost matches that do not overlap, with code point offsets: the pieces between matches tell where they lie."""
+def _pieces(order: int, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Leftmost matches that do not overlap: the code points before each since the last, its own, and whether it counts."""
     p = F.lit(pattern)
-    between, whole, part = F.split("text", pattern, -1), F.regexp_extract_all("text", p, F.lit(0)), F.regexp_extract_all("text", p, F.lit(group))
+    between, whole = F.split("text", pattern, -1), F.regexp_extract_all("text", p, F.lit(0))
+    part = F.regexp_extract_all("text", p, F.lit(group)) if group else whole
     zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), part.alias("part"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(SPAN).alias("out"))
-    empty = F.array().cast(SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        stop = begin + F.length(x["hit"])
+    def piece(x: Column) -> Column:
         ok = F.length(x["part"]) >= least
         if kind == "secret":
             ok = ok & x["part"].rlike("[0-9]") & x["part"].rlike("[A-Z]") & x["part"].rlike("[a-z]")
-        one = F.array(F.struct(begin.cast("long").alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), stop.cast("long").alias("stop"))).cast(SPAN)
-        return F.struct(stop.cast("long").alias("at"), F.when(ok, F.concat(F.coalesce(acc["out"], empty), one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.lit(order).alias("order"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), ok.alias("ok"))
 
-    found = F.aggregate(zipped, start, step, lambda acc: F.coalesce(acc["out"], empty))
-    return F.when(F.col("text").rlike(pattern), found).otherwise(empty)
+    return F.when(F.col("text").rlike(pattern), F.transform(zipped, piece).cast(PIECE)).otherwise(F.array().cast(PIECE))
 
 
-def _joined(spans: str) -> Column:
-    return F.expr(f"concat_ws(',', transform(array_sort({spans}), x -> concat(x.kind, ':', x.start, ':', x.stop)))")
+def _joined(spans: Column) -> Column:
+    names = F.array(*[F.lit(k[0]) for k in (*BASE, *WEAK)])
+    text = F.transform(spans, lambda x: F.concat(F.element_at(names, x["order"] + 1), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["stop"].cast("string")))
+    return F.coalesce(F.array_join(text, ","), F.lit(""))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -56,33 +54,42 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     Base spans are the matches of each kind.  Weak parts (account identifiers, mixed tokens, endpoints) outside base
     spans are added where a complementary part lies within ``scope`` code points: a secret beside an identifier, an
     identifier beside a secret, an endpoint beside both.  Parts meet in an interval join within scopes of that length,
-    where only a few can lie, so that a text full of parts does not pair all with all.
+    where only a few can lie, so that a text full of parts does not pair all with all.  Where matches lie, and which
+    weak ones base spans cover, follows from running sums and maxima over the matches of a row, so that the work on a
+    text grows with its matches, however many they are.
 
-    Rows without any part have empty spans; repeated rows get equal results; an empty table gives an empty result.
+    Rows without any part have empty spans; rows that repeat, or have no doc_id, are scanned one by one; an empty
+    table gives an empty result.
     """
     space = Workspace(docs.sparkSession, "secrets")
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = rows.select("doc_id", "text", *[_spans(i, *k).alias(k[0]) for i, k in enumerate(BASE)])
-    base = base.select("doc_id", "text", F.array_sort(F.concat(*[k[0] for k in BASE])).alias("base"))
-    identified = F.exists("base", lambda x: x["kind"] == "access") | F.col("text").rlike(WEAK[0][1])
-    weak = F.when(identified, F.concat(*[_spans(len(BASE) + i, *k) for i, k in enumerate(WEAK)])).otherwise(F.array().cast(SPAN))
-    found = base.select("doc_id", "base", F.when(identified, F.md5("text")).alias("key"), weak.alias("weak"))
-    found = found.withColumn("weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"]))))
+    base = rows.select("doc_id", "text", F.concat(*[_pieces(i, *k) for i, k in enumerate(BASE)]).alias("base"))
+    identified = F.exists("base", lambda x: (x["order"] == 1) & x["ok"]) | F.col("text").rlike(WEAK[0][1])
+    weak = F.when(identified, F.concat(*[_pieces(len(BASE) + i, *k) for i, k in enumerate(WEAK)])).otherwise(F.array().cast(PIECE))
+    found = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat("base", weak).alias("pieces"))
     found = space.put(found, "found")
-    role = F.element_at(F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair]), F.col("p.kind"))
-    parts = found.where("size(weak) > 0").select("doc_id", "key", "base", "weak").distinct()
-    parts = parts.select("doc_id", "key", F.explode(F.concat("base", "weak")).alias("p")).select("doc_id", "key", "p", role.alias("role"))
-    of_all = parts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("p").alias("q"), F.col("role").alias("other"), F.explode(F.expr(f"sequence((p.start - {scope}) div {scope} - 1, (p.stop + {scope}) div {scope})")).alias("_bin"))
-    asking = parts.where(F.col("p.order") >= len(BASE)).select("doc_id", "key", "p", "role", F.explode(F.expr(f"sequence(p.start div {scope}, p.stop div {scope})")).alias("bin"))
-    near = (F.col("q.start") <= F.col("p.stop") + scope) & (F.col("p.start") <= F.col("q.stop") + scope)
-    met = asking.join(of_all, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("bin") == F.col("_bin")) & near & (F.col("role") != F.col("other")))
-    linked = met.groupBy("doc_id", "key", "p", "role").agg(F.max(F.col("other") == "i").alias("i"), F.max(F.col("other") == "s").alias("s"))
-    linked = linked.where("(role = 's' and i) or (role = 'i' and s) or (role = 'e' and i and s)").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("p").alias("added"))
-    linked = space.put(linked, "linked")
-    out = found.join(linked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    out = out.withColumn("all", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", F.col("added").cast(SPAN))))
-    return out.select("doc_id", *[count(k[0]) for k in BASE], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
+    each = found.where("size(pieces) > 0").select("row", F.posexplode("pieces").alias("pos", "p")).select("row", "pos", "p.*").repartition("row")
+    stop = F.sum(F.col("gap") + F.col("hit")).over(W.partitionBy("row", "order").orderBy("pos")).cast("long")
+    spans = each.withColumn("stop", stop).where("ok").select("row", "order", (F.col("stop") - F.col("hit")).alias("start"), "stop")
+    # Of the base spans that begin before a weak part ends, one that ends after its beginning covers some of it.
+    is_base = F.col("order") < len(BASE)
+    reach = F.max(F.when(is_base, F.col("stop"))).over(W.partitionBy("row").orderBy(F.when(is_base, F.col("start")).otherwise(F.col("stop")), is_base).rowsBetween(W.unboundedPreceding, 0))
+    spans = space.put(spans.withColumn("reach", reach).where(is_base | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).drop("reach"), "spans")
+    roles = F.array(*[F.lit(ROLE[k[0]]) for k in (*BASE, *WEAK)])
+    parts = spans.withColumn("role", F.element_at(roles, F.col("order") + 1))
+    bins = lambda low, high: F.explode(F.sequence(low, high))
+    begin, end = F.expr(f"start div {scope}"), F.expr(f"stop div {scope}")
+    asking = parts.where(~is_base).select("row", "order", "start", "stop", "role", bins(begin, end).alias("bin"))
+    others = parts.select(F.col("row").alias("_row"), F.col("start").alias("_start"), F.col("stop").alias("_stop"), F.col("role").alias("other"), bins(begin - 1, end + 1).alias("_bin"))
+    near = (F.col("_start") <= F.col("stop") + scope) & (F.col("start") <= F.col("_stop") + scope)
+    met = asking.join(others, (F.col("row") == F.col("_row")) & (F.col("bin") == F.col("_bin")) & near & (F.col("role") != F.col("other")))
+    linked = met.groupBy("row", "order", "start", "stop", "role").agg(F.max(F.col("other") == "i").alias("i"), F.max(F.col("other") == "s").alias("s"))
+    linked = linked.where("(role = 's' and i) or (role = 'i' and s) or (role = 'e' and i and s)").select("row", "order", "start", "stop")
+    whole = spans.where(is_base).unionByName(linked).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "order", "stop"))).alias("all"))
+    out = found.select("row", "doc_id").join(space.put(whole, "whole"), "row", "left")
+    count = lambda i: F.greatest(F.size(F.filter("all", lambda x: x["order"] == i)), F.lit(0)).cast("long").alias(f"n_{BASE[i][0]}")
+    only = F.filter("all", lambda x: x["order"] < len(BASE))
+    return out.select("doc_id", *[count(i) for i in range(len(BASE))], F.sha2(_joined(only), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
 
 
 def _quote(pattern: str) -> str:
