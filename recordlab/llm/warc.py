@@ -21,24 +21,34 @@ FRAME, BUNDLE, LEVEL = 256 << 10, 8 << 20, 3
 #: Fixed values of the seekable format: magic of the skippable frame, magic of the footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
-PAGE = "urn:page:"
+PAGE = "urn:page"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record: a response with its payload, or a revisit that names the response and has no block."""
-    block = payload if refers_to is None else b""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{PAGE}{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+def name(page_id: int | None, said: str, row: int | None) -> str:
+    """Identifier of a record: page, digest of the payload and, where several rows would share these, a row number."""
+    return ":".join([PAGE, "null" if page_id is None else str(page_id), said, *([] if row is None else [str(row)])])
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, row: int | None = None, sole: bool = True) -> tuple[str, bytes]:
+    """Identifier and bytes of a WARC/1.1 record: a response with its payload, or a revisit that names the response and
+    has no block.  Without ``sole`` several rows are that response, and no single identifier is named."""
+    block, said = payload if refers_to is None else b"", digest(payload)
+    own = name(page_id, said, row)
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(url.splitlines()))
-    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
+    head += [f"WARC-Payload-Digest: sha1:{said}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{PAGE}{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Refers-To: <{name(refers_to, said, None)}>"] * sole
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return own, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -114,9 +124,9 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(data).hexdigest()]), pa.array([data], pa.binary()), pa.array([rows], kind)], ["bundle", "data", "records"])
 
     for batch in batches:
-        for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = record(page_id, url, html.encode(), refers_to)
-            writer.add(f"{PAGE}{'' if page_id is None else page_id}", data)
+        for page_id, url, html, refers_to, row, sole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, data = record(page_id, url, html.encode(), refers_to, row, sole)
+            writer.add(own, data)
             size += len(data)
             if size > BUNDLE:
                 yield close()
@@ -130,19 +140,50 @@ def write_bundles(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Of rows with equal payloads of ``least`` bytes or more that with the largest page_id is the response; the others
     revisit it.  Rows that share that page_id are all responses, and so are rows without a page_id where no other has
-    one.  The bundles are rows of a table, so any store that Spark writes can hold them; ``data`` is a whole .warc.zst
-    file.  Payload digests are matched by a table of repeated ones only.
+    one.  Every record has an identifier of its own: page and payload digest, and a row number where other rows could
+    have the same.  Other columns of ``pages`` are not read; an empty table gives no bundles.  The bundles are rows of
+    a table, so any store that Spark writes can hold them; ``data`` is a whole .warc.zst file.  Payload digests are
+    matched by a table of repeated ones only.
     """
     space = Workspace(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     known = rows.select("page_id", F.sha1("html").alias("_digest"), F.octet_length("html").alias("_size")).where(F.col("_size") >= least)
-    repeated = space.put(known.groupBy("_digest").agg(F.count("*").alias("_n"), F.max("page_id").alias("_last")).where("_n > 1").drop("_n"), "repeated")
+    pages_of = known.groupBy("_digest", "page_id").agg(F.count("*").alias("_n"))
+    last = F.max(F.struct("page_id", "_n"))
+    repeated = pages_of.groupBy("_digest").agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most"), last["page_id"].alias("_last"), (last["_n"] == 1).alias("_sole")).where("_rows > 1").drop("_rows")
     keyed = rows.withColumn("_digest", F.when(F.octet_length("html") >= least, F.sha1("html")))
+    placed = keyed.hint("merge").join(space.put(repeated, "repeated"), "_digest", "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("_last")), F.col("_last"))
-    placed = keyed.hint("merge").join(repeated, "_digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    alone = F.col("_digest").isNotNull() & F.coalesce(F.col("_most") == 1, F.lit(True)) | F.col("_sole") & (F.col("page_id") == F.col("_last"))
+    number = F.when(~F.coalesce(alone, F.lit(False)), F.monotonically_increasing_id())
+    placed = placed.select("page_id", "url", "html", refers.alias("refers_to"), number.alias("number"), F.coalesce("_sole", F.lit(True)).alias("sole"))
     return space.put(placed.mapInArrow(_write, BUNDLES), "bundles")
 
 
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, now, content = [], None, b""
+            for at in sorted(places, key=lambda p: (p["frame"], p["offset"])):
+                if at["frame"] != now:
+                    now, content = at["frame"], frame(data, at["frame"])
+                head, block, _ = parse(content, at["offset"])
+                rows.append((head["WARC-Record-ID"][1:-1], head["WARC-Type"], block))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["name", "record_type", "block"])
+
+
+def fetch_records(bundles: DataFrame, names: DataFrame) -> DataFrame:
+    """name, record_type and block of the records that ``names`` (name) identifies.
+
+    The index gives each record's frame and offset; no other frame of a bundle is unpacked.  Names that no record has,
+    null ones and repeated ones add nothing.
+    """
+    ship(bundles.sparkSession)
+    wanted = bundles.select("bundle", F.explode("records").alias("r")).join(names.select("name").distinct(), F.col("r.name") == F.col("name"), "left_semi")
+    places = wanted.groupBy(F.col("bundle").alias("_bundle")).agg(F.collect_list(F.struct("r.frame", "r.offset")).alias("places"))
+    return bundles.select("bundle", "data").join(places, F.col("bundle") == F.col("_bundle")).select("data", "places").mapInArrow(_fetch, "name string, record_type string, block binary")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0).to_pylist():
@@ -152,13 +193,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 content, where = unpack.decompress(data[at : at + packed], max_output_size=size), 0
                 while where < len(content):
                     head, block, where = parse(content, where)
-                    name, kind = head["WARC-Record-ID"][1:-1], head["WARC-Type"]
+                    kind = head["WARC-Type"]
                     said = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and digest(block) != said:
-                        raise ValueError(f"the payload of {name} does not match its digest")
-                    refers = head.get("WARC-Refers-To")
-                    page = name.removeprefix(PAGE)
-                    out.append((int(page) if page else None, head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), said, kind, int(refers[1:-1].removeprefix(PAGE)) if refers else None, block.decode() if kind == "response" else None))
+                        raise ValueError(f"the payload of {head['WARC-Record-ID']} does not match its digest")
+                    page, refers = (int(x) if (x := head.get(k)) else None for k in ("X-Page-ID", "X-Refers-To-Page-ID"))
+                    out.append((page, head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), said, kind, refers, block.decode() if kind == "response" else None))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             for lo in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[lo : lo + 1000], strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
