@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordlab.session import ship
 
+from ._space import Workspace
 from ._text import LOWER, chunks, span_hashes, spans
 
 #: Neutral names of groups, by language; the swaps stay within a language.
@@ -22,10 +24,9 @@ IDENTITY = {
     "de": "frauen männer muslime christen juden einwanderer flüchtlinge afrikaner asiaten schwarze weiße schwule lesben behinderte alte junge".split(),
     "es": "mujeres hombres musulmanes cristianos judíos inmigrantes refugiados africanos asiáticos negros blancos gays lesbianas discapacitados viejos jóvenes".split(),
 }
-#: Labelled rows of each class that the model may see, features that it keeps, lengths of word beginnings in bytes.
-SAMPLE, FEATURES, HEADS = 4000, 4096, (4, 5, 6)
-#: Bits of the buckets that features are first counted in.
-BUCKETS = 22
+#: Labelled rows of each class that the model may see, swapped sentences of each, features that it keeps, lengths of
+#: word beginnings in bytes.
+SAMPLE, SENTENCES, FEATURES, HEADS = 4000, 50, 4096, (4, 5, 6)
 GAP = np.ones(256, bool)
 GAP[97:123] = GAP[128:] = False
 
@@ -64,78 +65,74 @@ def _distinct(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _swaps(texts: list[str]) -> tuple[list[str], list[str]]:
+def _named() -> np.ndarray:
+    """Hashes of the identity terms."""
+    return np.unique(np.concatenate(_distinct(pa.array([w for words in IDENTITY.values() for w in words]))))
+
+
+def _swaps(text: str, most: int = SENTENCES) -> tuple[list[str], list[str]]:
     """Sentences with identity terms, and each with its terms swapped for the language's next one or left out."""
-    following = {w: (words[(i + 1) % len(words)], "") for words in IDENTITY.values() for i, w in enumerate(words)}
-    find = re.compile(r"\b(" + "|".join(sorted(following, key=len, reverse=True)) + r")\b", re.IGNORECASE)
     given, swapped = [], []
-    for text in texts:
-        if find.search(text):
-            for sentence in re.split(r"[.!?\n]", text):
-                if find.search(sentence):
-                    for k in (0, 1):
-                        given.append(sentence)
-                        swapped.append(find.sub(lambda m, k=k: following[m[0].lower()][k] if m[0].lower() in following else m[0], sentence))
+    if _TERMS.search(text):
+        for sentence in re.split(r"[.!?\n]", text):
+            if len(given) >= most:
+                break
+            if _TERMS.search(sentence):
+                for k in (0, 1):
+                    given.append(sentence)
+                    swapped.append(_TERMS.sub(lambda m, k=k: _FOLLOWING[m[0].lower()][k] if m[0].lower() in _FOLLOWING else m[0], sentence))
     return given, swapped
 
 
+_FOLLOWING = {w: (words[(i + 1) % len(words)], "") for words in IDENTITY.values() for i, w in enumerate(words)}
+_TERMS = re.compile(r"\b(" + "|".join(sorted(_FOLLOWING, key=len, reverse=True)) + r")\b", re.IGNORECASE)
+
+
+def _cells(texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
+    """Which of the keys each text has."""
+    out = []
+    for own in _distinct(pa.array(texts, pa.string())) if texts else []:
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        out.append(at[keys[at] == own].astype(np.int32))
+    return out
+
+
+def _strength(df, bad, share: float, lib=np):
+    """How far a feature's toxic rows are from what its rows would have by chance, in standard deviations."""
+    return lib.abs(bad - df * share) / lib.sqrt(df * share * (1 - share) + 1)
+
+
 def fit(texts: list[str | None], toxic: list[int], fairness: float = 20.0, lasso: float = 5e-4, steps: int = 300) -> Model:
-    """Weights that minimise logistic loss + lasso + fairness * mean squared score change over the swapped sentences."""
-    y = np.array(toxic, float)
+    """The model of texts at hand; :func:`train` takes the same steps with the texts where they lie."""
+    y, texts = np.array(toxic, float), [t or "" for t in texts]
+    if not len(y) or y.min() == y.max():
+        return _unfitted(y)
+    own = _distinct(pa.array(texts, pa.string()))
+    keys, at = np.unique(np.concatenate(own), return_inverse=True)
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    df = np.bincount(at, minlength=len(keys))
+    z = np.where(df >= 3, _strength(df, np.bincount(at, weights=y[row], minlength=len(keys)), y.mean()), 0)
+    best = np.lexsort((keys.view(np.int64), -z))[:FEATURES]
+    chosen = np.union1d(keys[best[z[best] > 0]], keys[np.isin(keys, _named())])
+    if not len(chosen):
+        return _unfitted(y)
+    pairs = [_swaps(t) for t in texts]
+    given, swapped = ([x for p in pairs for x in p[k]] for k in (0, 1))
+    return _solve(chosen, _cells(texts, chosen), y, _cells(given, chosen), _cells(swapped, chosen), fairness, lasso, steps)
+
+
+def _unfitted(y: np.ndarray) -> Model:
     share = (y.sum() + 0.5) / (len(y) + 1)
     rate = float(np.log(share / (1 - share)))
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), rate, min(rate, -0.1))
-    if not len(y) or y.min() == y.max():
-        return none
-    texts = [t or "" for t in texts]
-    share = y.mean()
-
-    def strength(df: np.ndarray, bad: np.ndarray) -> np.ndarray:
-        return np.where(df >= 3, np.abs(bad - df * share) / np.sqrt(df * share * (1 - share) + 1), 0)
-
-    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo in range(0, len(texts), 256):
-            own = _distinct(pa.array(texts[lo : lo + 256], pa.string()))
-            yield np.concatenate(own), np.repeat(np.arange(lo, lo + len(own)), [len(x) for x in own])
-
-    # Counts by bucket first, so that only features of telling buckets are ever held.
-    df, bad = np.zeros(1 << BUCKETS, np.int32), np.zeros(1 << BUCKETS, np.int32)
-    for hashes, rows in parts():
-        place = (hashes >> np.uint64(64 - BUCKETS)).astype(np.int64)
-        np.add.at(df, place, 1)
-        np.add.at(bad, place[y[rows] > 0], 1)
-    z = strength(df, bad)
-    named = np.unique(np.concatenate([np.zeros(0, np.uint64), *_distinct(pa.array([w for words in IDENTITY.values() for w in words]))]))
-    telling = np.zeros(len(z), bool)
-    top = np.argpartition(-z, 2 * FEATURES)[: 2 * FEATURES]
-    telling[top[z[top] > 0]] = True
-    telling[(named >> np.uint64(64 - BUCKETS)).astype(np.int64)] = True
-    held = [(h[k], r[k]) for h, r in parts() for k in (telling[(h >> np.uint64(64 - BUCKETS)).astype(np.int64)],)]
-    del df, bad, z, telling
-    row = np.concatenate([r for _, r in held])
-    keys, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-    z = strength(np.bincount(at, minlength=len(keys)), np.bincount(at, weights=y[row], minlength=len(keys)))
-    best = np.lexsort((keys, -z))[:FEATURES]
-    chosen = np.sort(np.union1d(best[z[best] > 0], np.flatnonzero(np.isin(keys, named)))).astype(np.int64)
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    col, row = place[at[place[at] >= 0]], row[place[at] >= 0]
-    keys = keys[chosen]
-    if not len(keys):
-        return none
-    given, swapped = _swaps(texts)
-
-    def matrix(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        own = _distinct(pa.array(sentences, pa.string())) if sentences else []
-        flat = np.concatenate([np.zeros(0, np.uint64), *own])
-        rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        where = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-        hit = keys[where] == flat
-        return rows[hit], where[hit]
-
-    (r0, c0), (r1, c1) = matrix(given), matrix(swapped)
+    return Model(np.zeros(0, np.uint64), np.zeros(0), rate, min(rate, -0.1))
+
+
+def _solve(keys: np.ndarray, cells: list[np.ndarray], y: np.ndarray, given: list[np.ndarray], swapped: list[np.ndarray], fairness: float, lasso: float, steps: int) -> Model:
+    """Weights that minimise logistic loss + lasso + fairness * mean squared score change over the swapped sentences."""
+    flat = lambda parts: (np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64))
+    (row, col), (r0, c0), (r1, c1) = flat(cells), flat(given), flat(swapped)
     rs, cs, sign = np.concatenate([r0, r1]), np.concatenate([c0, c1]), np.concatenate([np.ones(len(r0)), -np.ones(len(r1))])
-    size, pairs = len(keys), max(1, len(given))
+    share, size, pairs = y.mean(), len(keys), max(1, len(given))
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
@@ -191,13 +188,60 @@ def is_held_out(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits the model on at most ``sample`` labelled rows of each class, none held out, drawn by a hash of doc_id."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        toxic = batch.column(1).to_numpy()
+        own = _distinct(batch.column(0))
+        keys, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_inverse=True)
+        bad = np.bincount(at, weights=np.repeat(toxic, [len(x) for x in own]), minlength=len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, minlength=len(keys))), pa.array(bad)], ["key", "df", "bad"])
+
+
+def _placed(keys):
+    """Features of each row, and of its swapped sentences before and after, by their places among the chosen ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = keys.value
+        lists = pa.list_(pa.list_(pa.int32()))
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            swaps = [_swaps(t) for t in texts]
+            given, swapped = (pa.array([_cells(s[k], chosen) for s in swaps], lists) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(_cells(texts, chosen), pa.list_(pa.int32())), given, swapped], ["doc_id", "toxic", "cells", "given", "swapped"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: float = 20.0, lasso: float = 5e-4, steps: int = 300) -> Model:
+    """Fits the model on at most ``sample`` labelled rows of each class, none held out, drawn by a hash of doc_id.
+
+    Of rows that share a drawn doc_id and its label one counts.  Texts stay with the tasks, which count their features
+    and give the places of the 4096 most telling ones, and of at most 50 swapped sentences a row; the driver solves for
+    the weights.  Null ids and labels are left out.
+    """
+    spark = ship(docs.sparkSession)
+    space = Workspace(spark, "toxicity")
     known = labels.where("doc_id is not null and toxic is not null").where(~is_held_out()).select(F.col("doc_id").alias("_id"), "toxic", F.xxhash64("doc_id").alias("_h")).distinct()
     drawn = known.where("toxic = 1").orderBy("_h").limit(sample).unionByName(known.where("toxic = 0").orderBy("_h").limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("toxic").cast("int")).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(rows["text"].to_pylist(), rows["toxic"].to_pylist())
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
+    rows = space.put(rows.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "toxic", "doc_id"), "sample")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
+    if size.bad in (0, size.n):
+        return _unfitted(np.repeat([1.0, 0.0], [size.bad, size.n - size.bad]))
+    counts = space.put(rows.mapInArrow(_counted, "key long, df long, bad long").groupBy("key").agg(F.sum("df").alias("df"), F.sum("bad").alias("bad")), "features")
+    named = spark.createDataFrame([(int(k),) for k in _named().view(np.int64)], "key long")
+    z = _strength(F.col("df"), F.col("bad"), size.bad / size.n, F).alias("z")
+    best = counts.where("df >= 3").select("key", z).where("z > 0").orderBy(F.desc("z"), "key").limit(FEATURES).select("key")
+    chosen = best.union(counts.join(F.broadcast(named), "key", "left_semi").select("key")).distinct().toArrow()["key"].to_numpy().view(np.uint64)
+    if not len(chosen):
+        return _unfitted(np.repeat([1.0, 0.0], [size.bad, size.n - size.bad]))
+    chosen = np.sort(chosen)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lists = "cells array<int>, given array<array<int>>, swapped array<array<int>>"
+    found = rows.mapInArrow(_placed(spark.sparkContext.broadcast(chosen)), f"doc_id {kind}, toxic int, {lists}").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    arrays = lambda column: [np.array(x, np.int32) for x in column]
+    given, swapped = ([x for row in found[k].to_pylist() for x in row] for k in ("given", "swapped"))
+    return _solve(chosen, arrays(found["cells"].to_pylist()), found["toxic"].to_numpy().astype(float), arrays(given), arrays(swapped), fairness, lasso, steps)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -209,8 +253,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` less the rows that score 0.5 or more; all columns stay."""
+    """``docs`` less the rows that score 0.5 or more; all columns stay, whatever their names.
+
+    Null and empty texts stay, as they score below; repeated rows stay or go alike; an empty table stays empty.
+    """
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
-    names = [f.name for f in docs.schema if f.name != "score"]
-    scored = docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(_score(sent), docs.select(*names).schema.add("score", "double"))
-    return scored.where("score < 0.5").drop("score")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(_score(sent), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.where("score < 0.5").select("row.*")
