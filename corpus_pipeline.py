@@ -5,7 +5,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from recordlab.llm import jaccard, lines, mixing, pieces, toxicity
 from recordlab.llm._space import Workspace
@@ -14,45 +13,42 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels that are not held out, does not reject."""
+    """Documents that the classifier, trained on the labels that are not held out, does not reject.
+
+    Null and empty texts stay; repeated rows stay or go alike; other columns than COLUMNS are dropped, as in every
+    stage; an empty table stays empty, as in every stage.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.remove_toxic(docs, model).select(*COLUMNS)
+    return toxicity.remove_toxic(docs.select(*COLUMNS), model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines found in ten documents or more; n_chars follows the text; emptied documents stay."""
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Documents less the lines found in ten documents or more; n_chars follows the text.
+
+    Emptied documents stay; a null text becomes an empty one; repeated rows count each, and so do rows without an id.
+    """
+    return lines.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest doc_id; of rows equal in doc_id and text, one.
 
-    Rows without a doc_id stay, but for such repeats.
+    Rows are told apart by doc_id and text, so an id that other rows share takes none of them along.  Rows without a
+    doc_id come last in their group; rows without words stay, but for such repeats.
     """
-    space = Workspace(spark, "near-copies")
-    found = space.put(jaccard.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    left = docs.hint("merge").join(found, "doc_id", "left_anti").select(*COLUMNS)
-    first = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.lit(0)))  # shares the join's exchange
-    return left.withColumn("_first", first).where("_first = 1").select(*COLUMNS)
+    return jaccard.one_of_each_group(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number: not at all, once or twice.
+    """Whole documents, each not at all, once or twice, so that each source has about as many words as the mix takes.
 
-    Rows that share a doc_id, or have none, are told apart by their sizes; documents without words go.
+    Documents without words go; rows that share a doc_id, or have none, are told apart by their source and text.
     """
-    space = Workspace(spark, "mix")
-    by_size = lambda *more: F.row_number().over(W.partitionBy("doc_id").orderBy("size", *more))
-    taken = mixing.mix_sources(docs).where("size > 0").withColumn("_nth", by_size(F.desc("taken")))
-    taken = taken.select(F.col("doc_id").alias("_id"), "_nth", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = space.put(taken.where("_times > 0").withColumnRenamed("_nth", "_n"), "taken")
-    sized = docs.select(*COLUMNS).withColumn("size", F.regexp_count("text", F.lit(mixing.WORDS))).where("size > 0").withColumn("_nth", by_size("text"))
-    met = sized.hint("merge").join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    return mixing.mix_documents(docs.select(*COLUMNS))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; a null or empty text has no tokens."""
     return pieces.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), digest=True).drop("text")
 
 
