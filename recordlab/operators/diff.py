@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -15,7 +15,9 @@ from ..functions import deltas as D
 from ..plans.schema import field_at, merge
 
 SAME, DIFFERENT, MISSING_LHS, MISSING_RHS = "SAME", "DIFFERENT", "MISSING_LHS", "MISSING_RHS"
-NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+#: Types of keys that are joined as they are; keys of other types are joined by their texts.
+NATIVE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 @dataclass(frozen=True)
@@ -25,9 +27,11 @@ class Options:
     ``ignore`` names paths (or, with ``ignore_mode="contains"``, parts of paths).  ``unordered`` arrays are sorted by
     the text of their elements first; ``keyed`` arrays of structs are matched by the value of a field.  With
     ``indexed_paths`` the element's key is part of the reported path, and a missing element is one difference; without
-    it every leaf of the missing element is one.  ``numeric_text`` measures texts that hold numbers as numbers,
-    ``emit_equal`` reports equal leaves too.  ``overrides`` maps a path to its own function of two Columns; ``defaults``
-    maps a path to the value that an absent leaf stands for.
+    it every leaf of the missing element is one.  ``numeric_text`` measures texts that hold numbers as numbers, and
+    lists of them as vectors; ``emit_equal`` reports equal leaves too.  ``overrides`` maps a path to its own function
+    of two Columns; ``defaults`` maps a path to the value that an absent leaf stands for.  With ``type_defaults`` every
+    other absent leaf stands for what its field's metadata gives as "default", else for 0, false or empty, and an
+    absent list or map is an empty one; absent structs stay absent.
     """
 
     ignore: tuple[str, ...] = ()
@@ -42,6 +46,7 @@ class Options:
     measures: D.Measures = D.Measures()
     overrides: dict[str, Callable[[Column, Column], Column]] = field(default_factory=dict)
     defaults: dict[str, object] = field(default_factory=dict)
+    type_defaults: bool = False
 
     def drops(self, path: str) -> bool:
         return any(x in path for x in self.ignore) if self.ignore_mode == "contains" else path in self.ignore
@@ -55,6 +60,31 @@ def _maybe(differs: Column, one: Column) -> Column:
     return F.when(differs, F.array(one)).otherwise(_empty())
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` looks at it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def leaf_defaults(schema: T.StructType, prefix: str = "") -> dict[str, object]:
+    """What an absent leaf stands for, by path: the "default" of its field's metadata, else 0, false or empty."""
+    out: dict[str, object] = {}
+    for f in schema:
+        kind, path = f.dataType, prefix + f.name
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+        if isinstance(kind, T.StructType):
+            out |= leaf_defaults(kind, path + ".")
+        elif "default" in f.metadata:
+            out[path] = f.metadata["default"]
+        elif isinstance(kind, NUMBERS):
+            out[path] = 0
+        elif isinstance(kind, T.BooleanType):
+            out[path] = False
+        elif isinstance(kind, T.StringType | T.BinaryType):
+            out[path] = ""
+    return out
+
+
 def _all(parts: list[Column]) -> Column:
     return _empty() if not parts else parts[0] if len(parts) == 1 else F.concat(*parts)
 
@@ -70,6 +100,9 @@ class _Compiler:
             return _empty()
         if isinstance(kind, T.StructType):
             return self.struct(left, right, kind, path, name)
+        if self.o.type_defaults and isinstance(kind, T.MapType | T.ArrayType):
+            none = (F.create_map() if isinstance(kind, T.MapType) else F.array()).cast(kind)
+            left, right = F.coalesce(left, none), F.coalesce(right, none)
         if isinstance(kind, T.MapType):
             return self.map(left, right, kind, path, name)
         if isinstance(kind, T.ArrayType):
@@ -121,6 +154,11 @@ class _Compiler:
         if isinstance(inner, NUMBERS):
             differs = F.exists(F.zip_with(a, b, lambda x, y: ~D.same(x, y, inner)), lambda x: x)
             one = D.delta(name, left, right, kind, "VECTOR", self.o.measures.vector(a, b))
+        elif isinstance(inner, T.StringType) and self.o.numeric_text:
+            numbers = lambda v: F.transform(v, lambda x: x.try_cast("double"))
+            both = ~F.exists(F.concat(numbers(a), numbers(b)), lambda x: x.isNull())
+            differs = F.exists(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda x: x)
+            one = D.delta(name, left, right, kind, F.when(both, "VECTOR").otherwise("UNKNOWN"), F.when(both, self.o.measures.vector(numbers(a), numbers(b))))
         else:
             differs = F.exists(F.zip_with(a, b, lambda x, y: F.size(self.value(x, y, inner, path, F.lit(""))) > 0), lambda x: x)
             one = D.delta(name, left, right, kind, "UNKNOWN")
@@ -133,8 +171,9 @@ class _Compiler:
         key = lambda x: F.coalesce(x[by].cast("string"), F.lit("null"))
 
         def as_map(values: Column) -> Column:
-            keys = F.array_distinct(F.transform(values, key))
-            return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(values, lambda x: key(x) == k), -1)))
+            ordered = F.array_sort(F.transform(values, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+            last = _let(ordered, lambda s: F.filter(s, lambda t, i: F.coalesce(F.get(s, i + 1)["k"] != t["k"], F.lit(True))))
+            return F.map_from_entries(F.transform(last, lambda t: F.struct(t["k"], F.get(values, t["i"]))))
 
         def entry(k: Column, a: Column, b: Column) -> Column:
             at = F.concat(name, F.lit("["), k, F.lit("]")) if self.o.indexed_paths else name
@@ -178,27 +217,45 @@ class Diff:
             lhs, rhs = conform(lhs, schema), conform(rhs, schema)
         self.lhs, self.rhs, self.keys, self.options = lhs, rhs, keys, options
 
+    def _parts(self, df: DataFrame) -> tuple[list[Column], list[Column]]:
+        """Columns of the key to join by, none of them ever null, and the texts of its parts made of these."""
+        parts, texts = [], []
+        for i, k in enumerate(self.keys):
+            found = None if isinstance(k, Column) else field_at(df.schema, k)
+            if found is None or not isinstance(found.dataType, NATIVE):
+                parts.append((k if isinstance(k, Column) else key_text(df, k)).alias(f"_k{i}"))
+                texts.append(F.col(f"_k{i}"))
+            elif "." not in k and not found.nullable:
+                parts.append(F.col(k).alias(f"_k{i}"))
+                texts.append(F.col(f"_k{i}").cast("string"))
+            else:
+                stand_in = F.lit("1970-01-01" if isinstance(found.dataType, T.DateType | T.TimestampType | T.TimestampNTZType) else "false" if isinstance(found.dataType, T.BooleanType) else "0")
+                parts += [F.coalesce(F.col(k), stand_in.cast(found.dataType)).alias(f"_k{i}"), F.col(k).isNull().alias(f"_z{i}")]
+                texts.append(F.when(F.col(f"_z{i}"), "null").otherwise(F.col(f"_k{i}").cast("string")))
+        return parts, [t.alias(f"_k{i}") for i, t in enumerate(texts)]
+
     def _side(self, df: DataFrame, name: str, columns: list[str]) -> DataFrame:
-        keys = [(k if isinstance(k, Column) else key_text(df, k)).alias(f"_k{i}") for i, k in enumerate(self.keys)]
-        side = df.select(*keys, F.struct(*[F.col(f"`{c}`") for c in columns]).alias(name)) if columns else df.select(*keys, F.lit(True).alias(name))
+        parts, texts = self._parts(df)
+        side = df.select(*parts, F.struct(*[F.col(f"`{c}`") for c in columns]).alias(name)) if columns else df.select(*parts, F.lit(True).alias(name))
         if not self.options.guard:
             return side
         # The window shares the exchange and the sort of the join below.
-        once = F.count("*").over(W.partitionBy(*[f"_k{i}" for i in range(len(self.keys))]))
-        shown = F.concat_ws("_", *[f"_k{i}" for i in range(len(self.keys))])
-        checked = F.when(once > 1, F.raise_error(F.concat(F.lit("More than one record on a side has the key "), shown))).otherwise(F.col(name))
+        once = F.count("*").over(W.partitionBy(*side.columns[:-1]))
+        checked = F.when(once > 1, F.raise_error(F.concat(F.lit("More than one record on a side has the key "), F.concat_ws("_", *texts)))).otherwise(F.col(name))
         return side.withColumn(name, checked.cast(side.schema[name].dataType))
 
     @cached_property
     def compared(self) -> DataFrame:
-        """key parts _k0…, key, diff_type, deltas."""
+        """key parts _k0… as texts, key, diff_type, deltas."""
         plain = {k for k in self.keys if isinstance(k, str) and "." not in k}
         columns = [f.name for f in self.lhs.schema if not self.options.drops(f.name) and f.name not in plain]
+        left, right = self._side(self.lhs, "_l", columns), self._side(self.rhs, "_r", columns)
+        met = left.join(right, left.columns[:-1], "full_outer").select(*self._parts(self.lhs)[1], "_l", "_r")
         parts = [f"_k{i}" for i in range(len(self.keys))]
-        met = self._side(self.lhs, "_l", columns).join(self._side(self.rhs, "_r", columns), parts, "full_outer")
         left, right = F.col("_l"), F.col("_r")
-        compiler = _Compiler(self.options)
         schema = self.lhs.schema
+        options = replace(self.options, defaults=leaf_defaults(schema) | self.options.defaults) if self.options.type_defaults else self.options
+        compiler = _Compiler(options)
         below = [compiler.value(left[c], right[c], schema[c].dataType, c, F.lit(c)) for c in columns] if columns else []
         deltas = F.when(left.isNotNull() & right.isNotNull(), _all(below)).otherwise(_empty())
         kind = F.when(left.isNull(), MISSING_LHS).when(right.isNull(), MISSING_RHS).when(F.size("deltas") == 0, SAME).otherwise(DIFFERENT)
@@ -234,22 +291,24 @@ class Diff:
         last = F.col("deltas")
         if not self.options.indexed_paths:
             last = F.filter("deltas", lambda d, i: ~F.exists(F.slice("deltas", i + 2, F.size("deltas")), lambda e: e["field"] == d["field"]))
-        each = rows.select(F.explode(last).alias("d")).select("d.field", F.col("d.delta.deltaType").alias("t"), F.col("d.delta.deltaValue").alias("v"))
+        # Each differing key also gives a row without a field, so that one aggregate counts the keys as well.
+        every = F.concat(F.array(F.lit(None).cast(D.DELTA)), last)
+        each = rows.select(F.explode(every).alias("d")).select("d.field", F.col("d.delta.deltaType").alias("t"), F.col("d.delta.deltaValue").alias("v"))
         v = F.when(~F.isnan("v"), F.col("v")) if self.options.ignore_nan else F.col("v")
         flat = F.var_pop(v) > 0
         stats = each.groupBy("field").agg(
             F.count("*").alias("count"), F.min("t").alias("delta_type"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("delta_count"),
             F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("stddev"), F.when(flat, F.skewness(v)).alias("skewness"), F.when(flat, F.kurtosis(v)).alias("kurtosis"),
         )
-        total = self.global_stats.select("num_diff")  # one row
-        return stats.crossJoin(F.broadcast(total)).select("field", "count", (F.col("count") / F.col("num_diff")).alias("fraction"), *stats.columns[2:])
+        keys = F.max(F.when(F.col("field").isNull(), F.col("count"))).over(W.partitionBy(F.lit(0)))  # over the few rows of the result
+        return stats.select("*", (F.col("count") / keys).alias("fraction")).where("field is not null").select("field", "count", "fraction", *stats.columns[2:])
 
     def missing(self, side: str) -> DataFrame:
         """Keys that only the other side has, by an anti join that reads nothing but keys."""
-        plain = lambda df: df.select(*[(k if isinstance(k, Column) else key_text(df, k)).alias(f"_k{i}") for i, k in enumerate(self.keys)])
         here, there = (self.rhs, self.lhs) if side == "lhs" else (self.lhs, self.rhs)
-        parts = [f"_k{i}" for i in range(len(self.keys))]
-        return plain(here).join(plain(there), parts, "left_anti").select(F.concat_ws("_", *parts).alias("key"))
+        (own, texts), (other, _) = self._parts(here), self._parts(there)
+        own, other = here.select(*own), there.select(*other)
+        return own.join(other, own.columns, "left_anti").select(*texts).select(F.concat_ws("_", *[f"_k{i}" for i in range(len(self.keys))]).alias("key"))
 
     def duplicate_keys(self) -> DataFrame:
         """side, key and count of the keys that a side has more than once: what the guard raises on."""

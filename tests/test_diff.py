@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ def pair(spark, schema, left, right):
         ("array<string>", ["hello", "world"], ["Hello", "World"], [("1", "v", "UNKNOWN", None)]),
         ("array<long>", [1, 2], [1, 2, 3], [("1", "v", "UNKNOWN", None)]),
         ("array<long>", [], [], []),
+        ("decimal(12,2)", Decimal("1.50"), Decimal("2.75"), [("1", "v", "NUMERIC", 1.25)]),
+        ("decimal(12,2)", Decimal("1.50"), None, [("1", "v", "UNKNOWN", None)]),
+        ("decimal(12,2)", Decimal("1.5"), Decimal("1.50"), []),
         ("map<string,int>", {"x": 1, "y": 2}, {"y": 5, "z": 1}, [("1", "v[x]", "UNKNOWN", None), ("1", "v[y]", "NUMERIC", 3.0), ("1", "v[z]", "UNKNOWN", None)]),
     ],
 )
@@ -104,3 +109,68 @@ def test_counters_and_plan(spark):
     assert seen.get["num_missing_rhs"] == 2
     plan = diff(left, left, ["id"]).global_stats._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan
+
+
+@pytest.mark.parametrize(
+    "left, right, expected",
+    [
+        (["20", "21"], ["-20", "-21"], [("1", "v", "VECTOR", 2.0)]),
+        (["1", "2.5"], ["1", "2.5"], []),
+        (["1", "x"], ["1", "y"], [("1", "v", "UNKNOWN", None)]),
+        (["1", None], ["1", "2"], [("1", "v", "UNKNOWN", None)]),
+        (["1"], ["1", "2"], [("1", "v", "UNKNOWN", None)]),
+        ([], [], []),
+    ],
+)
+def test_lists_of_number_texts_are_vectors(spark, left, right, expected):
+    got = deltas(diff(*pair(spark, "array<string>", left, right), ["id"], numeric_text=True))
+    assert [(k, f, t, v and pytest.approx(v)) for k, f, t, v in expected] == got
+    assert [d[2] for d in deltas(diff(*pair(spark, "array<string>", left, right), ["id"]))] == ["UNKNOWN"] * len(expected)
+
+
+def test_decimal_arrays_are_vectors(spark):
+    (got,) = diff(*pair(spark, "array<decimal(5,1)>", [Decimal("2.0"), Decimal("0.0")], [Decimal("0.0"), Decimal("3.5")]), ["id"]).deltas.collect()
+    assert got.delta_type == "VECTOR" and got.delta_value == pytest.approx(1.0)
+
+
+def test_defaults_of_types(spark):
+    from pyspark.sql import types as T
+
+    kind = T.StructType([
+        T.StructField("id", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("s", T.StringType(), True, {"default": "none"}), T.StructField("b", T.BooleanType()),
+        T.StructField("l", T.ArrayType(T.IntegerType())), T.StructField("r", T.StructType([T.StructField("x", T.DoubleType())])),
+    ])
+    left = spark.createDataFrame([(1, 0, "none", False, [], (0.0,)), (2, 1, "x", True, [1], (1.0,)), (3, None, None, None, None, (None,))], kind)
+    right = spark.createDataFrame([(1, None, None, None, None, (None,)), (2, None, None, None, None, (None,)), (3, None, None, None, None, None)], kind)
+    got = deltas(diff(left, right, ["id"], type_defaults=True))
+    assert got == [("2", "b", "UNKNOWN", None), ("2", "l", "UNKNOWN", None), ("2", "n", "NUMERIC", -1.0), ("2", "r.x", "NUMERIC", -1.0), ("2", "s", "STRING", 4.0), ("3", "r", "UNKNOWN", None)]
+
+
+def test_keys_are_joined_as_they_are(spark):
+    import datetime as dt
+
+    rows = [(None, True, dt.date(2020, 1, 2), Decimal("1.5"), 1), (0, None, None, None, 2), (0, False, dt.date(1970, 1, 1), Decimal("0"), 3), (7, True, dt.date(2020, 1, 2), None, 4)]
+    left = spark.createDataFrame(rows, "a long, b boolean, c date, d decimal(4,1), x int")
+    right = left.where("x <> 4").withColumn("x", F.col("x") + 1)
+    d = diff(left, right, ["a", "b", "c", "d"])
+    assert sorted((r.key, r.diff_type) for r in d.compared.collect()) == sorted([("null_true_2020-01-02_1.5", "DIFFERENT"), ("0_null_null_null", "DIFFERENT"), ("0_false_1970-01-01_0.0", "DIFFERENT"), ("7_true_2020-01-02_null", "MISSING_RHS")])
+    assert [r.key for r in d.missing("rhs").collect()] == ["7_true_2020-01-02_null"] and d.missing("lhs").count() == 0
+    plan = diff(left, right, ["a", "b", "c", "d"]).compared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_field_stats_compare_once(spark):
+    left = spark.range(50).withColumn("x", F.col("id") * 2.0)
+    d = diff(left, left.withColumn("x", F.col("x") + 1), ["id"])
+    plan = d.field_stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "NestedLoop" not in plan
+
+
+def test_long_keyed_arrays(spark):
+    import time
+
+    rows = spark.range(1).select("id", F.expr("transform(sequence(1, 20000), i -> struct(cast(i as string) as s, i as n))").alias("v"))
+    moved = rows.withColumn("v", F.expr("transform(v, x -> struct(x.s as s, if(x.n % 1000 = 0, x.n + 1, x.n) as n))"))
+    began = time.time()
+    assert diff(rows, moved, ["id"], keyed={"v": "s"}).deltas.count() == 20
+    assert time.time() - began < 20
