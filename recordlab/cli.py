@@ -1,21 +1,24 @@
-"""Command line: diff, sample and take."""
+"""Command line: diff, sample, take and generate."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 from .operators.diff import diff
-from .operators.sampling import sample
+from .operators.generate import generate
+from .operators.sampling import Sample, sample
 from .operators.take import head_of_files, reservoir
-from .plans.schema import keyed_fields
-from .sources.io import kind_of, read, read_pair, save_stats, write, write_once
+from .plans.schema import from_avro_json, from_table_json, keyed_fields
+from .sources.io import as_tsv, kind_of, read, read_pair, save_stats, write, write_once
 
 
 def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="recordlab", description="Compare, sample and take from datasets.")
+    top = argparse.ArgumentParser(prog="recordlab", description="Compare, sample, take from and generate datasets.")
     commands = top.add_subparsers(dest="command", required=True)
     d = commands.add_parser("diff", help="compare two datasets by key")
     d.add_argument("--lhs", required=True)
@@ -48,9 +51,30 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("-n", type=int, required=True)
     t.add_argument("--head", action="store_true")
     t.add_argument("--seed", type=int, default=0)
+    g = commands.add_parser("generate", help="rows of a schema")
+    g.add_argument("--schema", required=True, help="columns as in CREATE TABLE, or a table or record schema in JSON")
+    g.add_argument("--output", required=True)
+    g.add_argument("--rows", type=int, default=1_000_000)
+    g.add_argument("--seed", type=int, default=0)
     return top
 
 
+def schema_from(text: str) -> T.StructType:
+    """A schema from columns as in CREATE TABLE, or from a table's or a record's schema in JSON."""
+    text = text.strip()
+    if text[:1] not in "[{":
+        return T.StructType.fromDDL(text)
+    return from_avro_json(text) if text[0] == "{" and json.loads(text).get("type") == "record" else from_table_json(text)
+
+
+def save_report(got: Sample, output: str) -> None:
+    """Target and actual size of every stratum, as a table beside a table, else as lines of text beside the files."""
+    if kind_of(output) == "table":
+        got.report.write.mode("overwrite").saveAsTable(f"{output}_report")
+    else:
+        as_tsv(got.report).write.mode("overwrite").text(f"{output.rstrip('/')}_report")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "sample" and not 0 < args.fraction <= 1:
@@ -77,7 +101,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             write_once(spark, rows, args.output)
         if got.population is not None:
-            got.report.show(100, truncate=False)
+            save_report(got, args.output)
+    elif args.command == "generate":
+        write(generate(spark, schema_from(args.schema), args.rows, args.seed), args.output)
     else:
         df = read(spark, args.input)
         rows = (df.limit(args.n) if kind_of(args.input) == "table" else head_of_files(df, args.n)) if args.head else reservoir(df, args.n, args.seed)

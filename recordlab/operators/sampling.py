@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.hashing import Algorithm, ByteEncoding, roll
 from ..plans.schema import stratum_field
+from ..session import written_once
 
 
 #: Bins of rolls by which an exact sample finds its thresholds.
@@ -132,10 +133,10 @@ def sample(
 
     With ``fields`` (or a roll ``by``) a row's fate depends on them alone and repeats anywhere; otherwise it is random.
     A ``distribution`` over ``distribution_fields`` keeps each stratum's share or gives all strata equal shares.
-    Exact samples hold exactly the targets; equal rolls go by the other columns.  Deterministic ones rank only the rows
-    around each stratum's threshold.  Random rolls cannot be drawn twice alike, so there whole strata are ranked; there
-    ``prune`` first drops rows whose roll is above a Chernoff bound, and may leave a stratum short with a probability
-    of about 1e-6.
+    Exact samples hold exactly the targets; equal rolls go by the other columns.  Only the rows around each stratum's
+    threshold are ranked.  Random rolls cannot be drawn twice alike, so an exact random sample is drawn when this is
+    called, and its rolls are written to the shared folder; there ``prune`` first drops rows whose roll is above a
+    Chernoff bound, and may leave a stratum short with a probability of about 1e-6.
 
     Strata are counted by partial aggregation.  Approximate samples need no exchange of the rows themselves.
     """
@@ -160,13 +161,12 @@ def sample(
         ties = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
         aimed = population.withColumn("_target", targets(distribution, fraction)).select("stratum", "c", "_target")
         rolled = rows.withColumn("_roll", drawn)
-        if deterministic:
-            return done(_smallest(rolled, aimed, ties))
-        met = rolled.join(aimed, "stratum")
-        if prune:
-            met = met.where(F.col("_roll") <= chernoff_bounds(F.col("c"), F.col("_target") / F.col("c"), 1e-6)[1])
-        ranked = met.withColumn("_rank", F.row_number().over(W.partitionBy("stratum").orderBy("_roll", *ties)))
-        return done(ranked.where(F.col("_rank") <= F.col("_target")).drop("_rank", "_roll", "_target", "c"))
+        if not deterministic:
+            if prune:
+                bounds = aimed.select("stratum", chernoff_bounds(F.col("c"), F.col("_target") / F.col("c"), 1e-6)[1].alias("_most"))
+                rolled = rolled.join(bounds, "stratum").where(F.col("_roll") <= F.col("_most")).drop("_most")
+            rolled = written_once(rolled)
+        return done(_smallest(rolled, aimed.drop("c"), ties))
     if distribution is Distribution.STRATIFIED:
         return done(rows.where(drawn < fraction if deterministic else drawn <= fraction))
     chances = uniform_parameters(population, fraction).select("stratum", "p")

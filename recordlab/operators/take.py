@@ -31,7 +31,7 @@ def reservoir(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def reservoir_by_bytes(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """A reservoir in which files count by size: each gets places in proportion to its bytes, rounded, ``n`` in all.
 
-    The number of files, not of rows, bounds what is ranked in one place.
+    Places are dealt by the sizes of the files, in one task; of a file's rows each task keeps only its ``n`` smallest draws.
     """
     if n <= 0:
         raise ValueError("n must be positive")
@@ -44,4 +44,4 @@ def reservoir_by_bytes(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     part = lambda x: F.floor(x * n / whole + 0.5)
     places = files.withColumn("_places", part(before) - part(before - F.col("b"))).select("_file", "_places")
     ranked = placed.join(places, "_file").withColumn("_rank", F.row_number().over(W.partitionBy("_file").orderBy("_draw")))
-    return ranked.where(F.col("_rank") <= F.col("_places")).drop("_file", "_bytes", "_draw", "_places", "_rank")
+    return ranked.where((F.col("_rank") <= n) & (F.col("_rank") <= F.col("_places"))).drop("_file", "_bytes", "_draw", "_places", "_rank")

@@ -105,6 +105,71 @@ def from_table_json(text: str) -> T.StructType:
     return convert(given["fields"] if isinstance(given, dict) else given)
 
 
+def to_table_json(schema: T.StructType) -> str:
+    """The JSON that :func:`from_table_json` reads; types that a warehouse table lacks are an error."""
+
+    def convert(f: T.StructField) -> dict:
+        kind, mode = f.dataType, "NULLABLE" if f.nullable else "REQUIRED"
+        if isinstance(kind, T.ArrayType):
+            kind, mode = kind.elementType, "REPEATED"
+        if isinstance(kind, T.StructType):
+            return {"name": f.name, "type": "RECORD", "mode": mode, "fields": [convert(x) for x in kind]}
+        name = next((n for n, t in _TABLE.items() if t == kind), None)
+        if name is None:
+            raise ValueError(f"type {kind.simpleString()} of {f.name} is not supported")
+        return {"name": f.name, "type": name, "mode": mode}
+
+    return json.dumps({"fields": [convert(f) for f in schema]})
+
+
+_MESSAGE = {1: T.DoubleType(), 2: T.FloatType(), 3: T.LongType(), 4: T.DecimalType(20, 0), 5: T.IntegerType(), 6: T.DecimalType(20, 0), 7: T.LongType(), 8: T.BooleanType(), 9: T.StringType(), 12: T.BinaryType(), 13: T.LongType(), 14: T.StringType(), 15: T.IntegerType(), 16: T.LongType(), 17: T.IntegerType(), 18: T.LongType()}
+
+
+def from_descriptor(descriptors: bytes, message: str) -> T.StructType:
+    """The schema of a message in a serialized Protobuf descriptor set; a field's default is in its metadata.
+
+    Repeated fields are arrays, map fields maps, enumerations texts; a message inside itself is left out.
+    """
+    from google.protobuf import descriptor_pb2
+
+    known: dict[str, tuple[str, object]] = {}
+
+    def enter(prefix: str, messages, enums) -> None:
+        for e in enums:
+            known[f"{prefix}.{e.name}"] = ("enum", e)
+        for m in messages:
+            known[f"{prefix}.{m.name}"] = ("message", m)
+            enter(f"{prefix}.{m.name}", m.nested_type, m.enum_type)
+
+    for file in descriptor_pb2.FileDescriptorSet.FromString(descriptors).file:
+        enter(f".{file.package}" if file.package else "", file.message_type, file.enum_type)
+    top = next((k for k in known if k == f".{message}" or k.endswith(f".{message}")), None)
+    if top is None or known[top][0] != "message":
+        raise ValueError(f"no message {message!r} in the descriptors")
+
+    def convert(name: str, above: tuple[str, ...]) -> T.StructType:
+        fields = []
+        for f in known[name][1].field:
+            repeated, metadata = f.label == f.LABEL_REPEATED, {}
+            if f.type in (f.TYPE_MESSAGE, f.TYPE_GROUP):
+                if f.type_name in (*above, name):
+                    continue
+                kind: T.DataType = convert(f.type_name, (*above, name))
+                if repeated and known[f.type_name][1].options.map_entry:
+                    kind, repeated = T.MapType(kind["key"].dataType, kind["value"].dataType), False
+            else:
+                kind = _MESSAGE[f.type]
+                if f.type == f.TYPE_ENUM:
+                    metadata = {"default": f.default_value or known[f.type_name][1].value[0].name}
+                elif f.HasField("default_value"):
+                    plain = {"StringType": str, "BinaryType": str, "BooleanType": lambda x: x == "true"}
+                    metadata = {"default": plain.get(type(kind).__name__, float if isinstance(kind, T.FloatType | T.DoubleType) else int)(f.default_value)}
+            fields.append(T.StructField(f.name, T.ArrayType(kind, False) if repeated else kind, not repeated and f.label != f.LABEL_REQUIRED, metadata))
+        return T.StructType(fields)
+
+    return convert(top, ())
+
+
 _AVRO = {"null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
 
 

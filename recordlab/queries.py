@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.hashing import md5_roll
+from .functions.hashing import bound, fingerprint, md5_roll
 from .operators import generate as G
 from .operators.diff import Diff, diff
 from .operators.sampling import chernoff_bounds, sample, strata, stratum, top_k_by_key, uniform_parameters
-from .operators.take import head, reservoir
+from .operators.take import head, head_of_files, reservoir
 from .plans.schema import flatten, from_table_json
-from .sources.io import as_tsv
+from .session import shared_dir
+from .sources.io import as_tsv, read, read_pair, save_stats, schema_of, timestamp_text, write, write_once
+from .streaming.sampling import sample_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -444,3 +447,297 @@ def json_lines_roundtrip(spark, d):
 @query(f"SELECT o_orderkey, {_roll('o_custkey::VARCHAR')} AS roll FROM orders")
 def roll_md5(spark, d):
     return table(spark, d, "orders").select("o_orderkey", md5_roll(F.col("o_custkey")).alias("roll"))
+
+
+# More of the comparison ------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey::VARCHAR AS key, 'price' AS field, 'NUMERIC' AS delta_type, 1.25::DOUBLE AS delta_value FROM orders WHERE o_orderkey % 4 = 0")
+def diff_decimal(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(14,2)").alias("price"))
+    raised = F.when(F.col("o_orderkey") % 4 == 0, F.col("price") + F.lit("1.25").cast("decimal(3,2)")).otherwise(F.col("price")).cast("decimal(14,2)")
+    return _flat(diff(o, o.withColumn("price", raised), ["o_orderkey"]).deltas)
+
+
+@query("SELECT vec_id::VARCHAR AS key, 'v' AS field, 'VECTOR' AS delta_type, round(list_cosine_distance(v, list_reverse(v)), 5) AS delta_value FROM (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 3)) AS v FROM embeddings) WHERE vec_id % 3 = 0 AND v <> list_reverse(v)")
+def diff_text_vector(spark, d):
+    """Lists of number texts are vectors where texts are measured as numbers."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 3).cast("string")).alias("v"))
+    other = e.withColumn("v", F.when(F.col("vec_id") % 3 == 0, F.reverse("v")).otherwise(F.col("v")))
+    return diff(e, other, ["vec_id"], numeric_text=True).deltas.select("key", "field", "delta_type", F.round("delta_value", 5).alias("delta_value"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS key, 'r.n' AS field, 'NUMERIC' AS delta_type, -(c_custkey % 3)::DOUBLE AS delta_value FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey::VARCHAR, 'l', 'UNKNOWN', NULL FROM customer WHERE c_custkey % 5 = 1""")
+def diff_type_defaults(spark, d):
+    """Absent leaves stand for zero or empty, absent lists for empty ones."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", F.struct(F.when(k % 2 == 0, k % 3).alias("n"), F.when(k % 7 == 0, "").alias("s")).alias("r"), F.when(k % 5 == 1, F.array(k)).when(k % 5 == 2, F.array().cast("array<bigint>")).alias("l"))
+    other = c.select("c_custkey", F.struct(F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("s")).alias("r"), F.lit(None).cast("array<bigint>").alias("l"))
+    return _flat(diff(c, other, ["c_custkey"], type_defaults=True).deltas)
+
+
+@query(_ORDERS + "SELECT key, field, round(CASE WHEN field = 'o_totalprice' THEN delta_value / lp ELSE 0 END, 8) AS delta_value FROM d JOIN c USING (key)")
+def diff_measures(spark, d):
+    """Prices by their relative change, texts by the change of their length."""
+    from .functions.deltas import Measures
+
+    own = Measures(numeric=lambda a, b: (b - a) / a, string=lambda a, b: F.length(b) - F.length(a))
+    return _orders(spark, d, measures=own).deltas.select("key", "field", F.round("delta_value", 8).alias("delta_value"))
+
+
+@query("SELECT 'K' || o_orderkey AS key, CASE WHEN o_orderkey % 2 <> 0 THEN 'MISSING_LHS' WHEN o_orderkey % 3 <> 0 THEN 'MISSING_RHS' ELSE 'SAME' END AS diff_type FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def diff_key_function(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return diff(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), [F.concat(F.lit("K"), F.col("o_orderkey").cast("string"))]).compared.select("key", "diff_type")
+
+
+@query("SELECT event_id::VARCHAR AS key, 'info.event_type' AS field, 'STRING' AS delta_type, levenshtein(event_type, upper(event_type))::DOUBLE AS delta_value FROM events WHERE event_id % 2 = 0 AND event_type <> upper(event_type)")
+def diff_nested_key(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    nest = lambda t: e.select(F.struct(F.col("event_id").alias("id"), t.alias("event_type")).alias("info"))
+    return _flat(diff(nest(F.col("event_type")), nest(kind), ["info.id"]).deltas)
+
+
+@query("SELECT c_custkey::VARCHAR AS key, 'r.name' AS field, 'STRING' AS delta_type, levenshtein(c_mktsegment, reverse(c_mktsegment))::DOUBLE AS delta_value FROM customer WHERE c_mktsegment <> reverse(c_mktsegment)")
+def diff_ignore_contains(spark, d):
+    c = table(spark, d, "customer")
+    left = c.select("c_custkey", F.struct(F.col("c_acctbal").alias("price_a"), F.col("c_nationkey").alias("price_b"), F.col("c_mktsegment").alias("name")).alias("r"))
+    right = left.withColumn("r", F.struct((F.col("r.price_a") + 1).alias("price_a"), (F.col("r.price_b") + 1).alias("price_b"), F.reverse("r.name").alias("name")))
+    return _flat(diff(left, right, ["c_custkey"], ignore=("price",), ignore_mode="contains").deltas)
+
+
+@query(_ORDERS + _COUNTS)
+def diff_counters(spark, d):
+    """Counters that an action on the comparison fills."""
+    rows, seen = _orders(spark, d).observed("orders")
+    rows.write.format("noop").mode("overwrite").save()
+    kind = "num_same long, num_diff long, num_missing_lhs long, num_missing_rhs long"
+    return spark.createDataFrame([tuple(seen.get[c.split()[0]] for c in kind.split(", "))], kind).withColumn("num_total", F.expr("num_same + num_diff + num_missing_lhs + num_missing_rhs"))
+
+
+# Sources and sinks -----------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/queries-{uuid.uuid4().hex[:12]}"
+
+
+@query(_ORDERS + "SELECT field, count(*)::VARCHAR AS count, any_value(delta_type) AS delta_type FROM d GROUP BY field")
+def save_stats_text(spark, d):
+    """Field statistics as tab-separated text with a header in each file, read back."""
+    place = _scratch(spark)
+    save_stats(_orders(spark, d), place, header=True)
+    return spark.read.option("sep", "\t").option("header", True).csv(f"{place}/fields").select("field", "count", "delta_type")
+
+
+@query(_ORDERS + "SELECT count(*)::VARCHAR || chr(9) || count_if(diff_type = 'SAME') || chr(9) || count_if(diff_type = 'DIFFERENT') || chr(9) || count_if(diff_type = 'MISSING_LHS') || chr(9) || count_if(diff_type = 'MISSING_RHS') AS value FROM c")
+def save_stats_lines(spark, d):
+    place = _scratch(spark)
+    save_stats(_orders(spark, d), place)
+    return spark.read.text(f"{place}/global")
+
+
+@query("SELECT o_orderkey, isnan(x) AS is_nan, isinf(x) AS is_infinite, CASE WHEN isfinite(x) THEN round(x, 2) END AS x, s FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 5 = 0 THEN '-inf'::DOUBLE ELSE o_totalprice END AS x, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS s FROM orders)")
+def json_lines_file(spark, d):
+    """JSON lines written to files and read back; NaN and infinity are texts there."""
+    k, path = F.col("o_orderkey"), f"{_scratch(spark)}/orders.json"
+    x = F.when(k % 3 == 0, float("nan")).when(k % 5 == 0, float("-inf")).otherwise(F.col("o_totalprice"))
+    rows = table(spark, d, "orders").select(k, x.alias("x"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("s"))
+    write(rows, path)
+    x = F.col("x")
+    whole = ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return read(spark, path, rows.schema).select("o_orderkey", F.isnan(x).alias("is_nan"), (F.abs(x) == float("inf")).alias("is_infinite"), F.when(whole, F.round(x, 2)).alias("x"), "s")
+
+
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS s, len(l)::INT AS n, l[1] AS first FROM (SELECT *, [o_orderkey, o_custkey] AS l FROM orders)")
+def avro_file(spark, d):
+    """Avro written to files, probed and read back, with a null, a list and a record."""
+    path, k = f"{_scratch(spark)}/orders.avro", F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k, F.struct("o_totalprice").alias("r"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("s"), F.array("o_orderkey", "o_custkey").alias("l"))
+    write(rows, path)
+    return read(spark, path, schema_of(spark, path)).select("o_orderkey", "r.o_totalprice", "s", F.size("l").alias("n"), F.col("l")[0].alias("first"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus = 'F'")
+def parquet_file(spark, d):
+    """Parquet written once, asked for again, probed and read by a glob with a quoted restriction."""
+    path = f"{_scratch(spark)}/orders.parquet"
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").where("o_orderkey % 2 = 0")
+    write_once(spark, rows, path)
+    write_once(spark, rows.limit(0), path)
+    schema = schema_of(spark, path.replace("orders.", "ord*."))
+    return read(spark, path.replace("orders.", "ord*."), schema, where="\"o_orderstatus = 'F'\"")
+
+
+@query("SELECT strftime(ts, '%Y%m%d')::INT AS ts_day, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def partitioned_file(spark, d):
+    path = f"{_scratch(spark)}/events.parquet"
+    write(table(spark, d, "events").select("event_id", "ts"), path, partition="ts", by="day")
+    return read(spark, path).groupBy("ts_day").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 3 = 0 THEN 'DIFFERENT' ELSE 'SAME' END AS diff_type FROM customer")
+def diff_compatible_files(spark, d):
+    """Two Parquet inputs of different schemas are read with the one that reads both."""
+    place, k = _scratch(spark), F.col("c_custkey")
+    c = table(spark, d, "customer")
+    write(c.select(k, F.col("c_nationkey").cast("long").alias("n"), F.lit(None).cast("string").alias("note")), f"{place}/l.parquet")
+    write(c.select(k, (F.col("c_nationkey") + F.when(k % 3 == 0, 1).otherwise(0)).cast("int").alias("n")), f"{place}/r.parquet")
+    return diff(*read_pair(spark, f"{place}/l.parquet", f"{place}/r.parquet"), ["c_custkey"]).compared.select("key", "diff_type")
+
+
+@query("SELECT event_id, rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') || ' UTC' AS text FROM events")
+def timestamp_as_text(spark, d):
+    return table(spark, d, "events").select("event_id", timestamp_text(F.col("ts")).alias("text"))
+
+
+# Hashes ----------------------------------------------------------------------------------------------------------
+
+
+def _mul(a: str, b: str) -> str:
+    return f"(({a})::UHUGEINT * ({b})::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _add(a: str, b: str) -> str:
+    return f"((({a})::UHUGEINT + ({b})::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _turned(x: str, n: int) -> str:
+    return f"(({x} >> {n}) + {_mul(x, str(2 ** (64 - n)))})"
+
+
+def _little(text: str) -> str:
+    """The number that 16 hexadecimal digits, lowest byte first, stand for."""
+    return "('0x' || " + " || ".join(f"substr({text}, {i}, 2)" for i in range(15, 0, -2)) + ")::UBIGINT"
+
+
+def _bytes_of(x: str) -> str:
+    """16 hexadecimal digits, lowest byte first, of a number that is not negative."""
+    return "(" + " || ".join(f"substr(lpad(hex({x}), 16, '0'), {i}, 2)" for i in range(15, 0, -2)) + ")"
+
+
+def _farm_sql(messages: str) -> str:
+    """``messages`` (id, h: 8 to 16 bytes in hexadecimal) and the published 64-bit farm fingerprint of each."""
+    k2 = "11160318154034397263"  # fixed value of the algorithm
+    return f"""m AS ({messages}),
+f1 AS (SELECT id, {_add(_little("substr(h, 1, 16)"), k2)} AS a, {_little("substr(h, length(h) - 15, 16)")} AS b, {_add(k2, "length(h)")} AS mul FROM m),
+f2 AS (SELECT id, mul, {_add(_mul(_turned("b", 37), "mul"), "a")} AS u, {_mul(_add(_turned("a", 25), "b"), "mul")} AS v FROM f1),
+f3 AS (SELECT id, mul, v, {_mul("xor(u, v)", "mul")} AS x FROM f2),
+f4 AS (SELECT id, mul, {_mul("xor(v, xor(x, x >> 47))", "mul")} AS y FROM f3),
+farm AS (SELECT id, {_mul("xor(y, y >> 47)", "mul")} AS h FROM f4)
+"""
+
+
+def _bound_sql(h: str) -> str:
+    return f"((CASE WHEN {h} >= 9223372036854775808::UBIGINT THEN ({h}::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE {h}::BIGINT END)::DOUBLE + 9223372036854775808::DOUBLE) / 18446744073709551615::DOUBLE"
+
+
+def _signed_sql(h: str) -> str:
+    return f"(CASE WHEN {h} >= 9223372036854775808::UBIGINT THEN ({h}::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE {h}::BIGINT END)"
+
+
+ORACLE["sample_hash_farm"] = f"WITH {_farm_sql('SELECT o_orderkey AS id, ' + chr(39) + '2a000000' + chr(39) + ' || ' + _bytes_of('o_custkey') + ' AS h FROM orders')} SELECT o_orderkey, o_custkey FROM orders JOIN farm ON o_orderkey = id WHERE {_bound_sql('h')} < 0.1::DOUBLE"
+ORACLE["sample_hash_murmur"] = f"""WITH g0 AS (SELECT o_orderkey, o_custkey, {_mul("o_custkey", "9782798678568883157")} AS k FROM orders),
+g1 AS (SELECT o_orderkey, o_custkey, xor(xor(42::UBIGINT, {_mul(_turned("k", 33), "5545529020109919103")}), 8::UBIGINT) AS h1, xor(42::UBIGINT, 8::UBIGINT) AS h2 FROM g0),
+g2 AS (SELECT o_orderkey, o_custkey, {_add("h1", "h2")} AS h1, h2 FROM g1), g3 AS (SELECT o_orderkey, o_custkey, h1, {_add("h2", "h1")} AS h2 FROM g2),
+g4 AS (SELECT o_orderkey, o_custkey, {_mul("xor(h1, h1 >> 33)", "18397679294719823053")} AS h1, {_mul("xor(h2, h2 >> 33)", "18397679294719823053")} AS h2 FROM g3),
+g5 AS (SELECT o_orderkey, o_custkey, {_mul("xor(h1, h1 >> 33)", "14181476777654086739")} AS h1, {_mul("xor(h2, h2 >> 33)", "14181476777654086739")} AS h2 FROM g4),
+g6 AS (SELECT o_orderkey, o_custkey, {_add("xor(h1, h1 >> 33)", "xor(h2, h2 >> 33)")} AS h FROM g5)
+SELECT o_orderkey, o_custkey FROM g6 WHERE {_bound_sql('h')} < 0.1::DOUBLE"""
+
+
+@query(
+    "WITH " + _farm_sql("""SELECT (c_custkey, 0) AS id, hex(encode(c_mktsegment)) AS h FROM customer
+  UNION ALL SELECT (c_custkey, 1), hex(encode(lower(hex(encode(left(c_mktsegment, 4)))))) FROM customer UNION ALL SELECT (c_custkey, 2), hex(encode(base64(encode(left(c_mktsegment, 6))))) FROM customer""")
+    + f"SELECT id[1] AS c_custkey, max(CASE WHEN id[2] = 0 THEN {_signed_sql('h')} END) AS raw, max(CASE WHEN id[2] = 1 THEN {_signed_sql('h')} END) AS hex, max(CASE WHEN id[2] = 2 THEN {_signed_sql('h')} END) AS base64 FROM farm GROUP BY 1"
+)
+def hash_encodings(spark, d):
+    """Farm fingerprints of a text, and of bytes as hexadecimal and base-64 text."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", *[F.encode(F.substring("c_mktsegment", 1, n), "UTF-8").alias(f"b{n}") for n in (4, 6)])
+    return c.select("c_custkey", fingerprint(c, ["c_mktsegment"]).alias("raw"), fingerprint(c, ["b4"], encoding="hex").alias("hex"), fingerprint(c, ["b6"], encoding="base64").alias("base64"))
+
+
+@query("WITH " + _farm_sql(f"SELECT o_orderkey AS id, {_bytes_of('o_orderkey')} || {_bytes_of('o_custkey')} AS h FROM orders") + f"SELECT id AS o_orderkey, {_signed_sql('h')} AS h, round({_bound_sql('h')}, 12) AS unit FROM farm")
+def hash_fields(spark, d):
+    """Two fields are one message, in their order; a null adds nothing; the hash as a number from 0 to 1."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.lit(None).cast("string").alias("nothing"))
+    return o.withColumn("h", fingerprint(o, ["o_orderkey", "nothing", "o_custkey"])).select("o_orderkey", "h", F.round(bound(F.col("h")), 12).alias("unit"))
+
+
+# More of sampling, generation and the command line ---------------------------------------------------------------
+
+
+@query(_BY_LANG + "SELECT stratum, floor(c * 0.2::DOUBLE)::DOUBLE AS target, floor(c * 0.2::DOUBLE)::BIGINT AS actual, 0::DOUBLE AS diff FROM p")
+def sample_exact_random(spark, d):
+    """An exact sample by random rolls; the check lets it pass, and each row comes from its stratum."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    got = sample(docs, 0.2, seed=11, distribution="stratified", distribution_fields=["lang"], precision="exact")
+    return got.check().select("stratum", "target", "actual", F.abs("diff").alias("diff"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders LIMIT 25")
+def take_head_of_files(spark, d):
+    return head_of_files(table(spark, d, "orders"), 25).select("o_orderkey", "o_custkey")
+
+
+@query(ORACLE["sample_hash_md5"])
+def stream_hash_sample(spark, d):
+    """The hash sample of a stream of the table's files, written by a streaming query."""
+    rows, place = table(spark, d, "orders").select("o_orderkey", "o_custkey"), _scratch(spark)
+    write(rows, f"{place}/in.parquet")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in.parquet")
+    kept = sample_stream(stream, 0.1, ["o_custkey"], "md5", 5)
+    kept.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{place}/out")
+
+
+@query(f"SELECT CASE WHEN {_unit('c')} < 5/6::DOUBLE THEN 'SE' ELSE 'NO' END AS country, count(*)::BIGINT AS n FROM range(3000) t(i) GROUP BY 1")
+def gen_overrides(spark, d):
+    schema = T.StructType.fromDDL("id long not null, country string not null, r struct<x: int> not null")
+    made = G.generate(spark, schema, 3000, seed=7, overrides={"country": lambda s: s.frequency("c", [(5, "SE"), (1, "NO")])})
+    return made.groupBy("country").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT n_nationkey, {_choose('k', 0, 999, 'n_nationkey::VARCHAR')} AS id, CASE WHEN n_nationkey % 2 = 0 THEN {_choose('k', 0, 999, 'n_nationkey::VARCHAR')} END AS inner_id FROM nation")
+def gen_try_amend(spark, d):
+    """One drawn value in a column and in a record; a record that is null stays null."""
+    n = table(spark, d, "nation").select("n_nationkey", F.lit(0).cast("long").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.struct(F.lit(1).cast("long").alias("id"), "n_name")).alias("r"))
+    return G.try_amend(n, G.Source(F.col("n_nationkey"), 7).choose("k", 0, 999), "id", "r.id").select("n_nationkey", "id", F.col("r.id").alias("inner_id"))
+
+
+@query(f"SELECT n, count(*)::BIGINT AS rows, count(DISTINCT m)::BIGINT AS kinds FROM (SELECT {_choose('n', 0, 99)} AS n, {_choose('m', 0, 9)} AS m FROM range(1000000) t(i)) GROUP BY n")
+def gen_million(spark, d):
+    schema = T.StructType.fromDDL("n long not null, m long not null")
+    made = G.generate(spark, schema, 1_000_000, seed=7, overrides={"n": lambda s: s.choose("n", 0, 99), "m": lambda s: s.choose("m", 0, 9)})
+    return made.groupBy("n").agg(F.count("*").alias("rows"), F.countDistinct("m").alias("kinds"))
+
+
+@query(_ORDERS + "SELECT key, diff_type FROM c WHERE diff_type <> 'SAME'")
+def cli_diff(spark, d):
+    from .cli import main
+
+    place, given = _scratch(spark), _orders(spark, d)
+    for name, side in (("l", given.lhs), ("r", given.rhs)):
+        write(side, f"{place}/{name}.parquet")
+    main(["diff", "--lhs", f"{place}/l.parquet", "--rhs", f"{place}/r.parquet", "--key", "o_orderkey", "--output", f"{place}/out", "--with-header"], spark)
+    return spark.read.option("sep", "\t").option("header", True).csv(f"{place}/out/keys").where("diff_type <> 'SAME'").select("key", "diff_type").distinct()
+
+
+@query(ORACLE["sample_hash_md5"])
+def cli_sample(spark, d):
+    from .cli import main
+
+    out = f"{_scratch(spark)}/s.parquet"
+    main(["sample", "--input", f"{d}/orders.parquet", "--output", out, "--fraction", "0.1", "--fields", "o_custkey", "--seed", "5", "--algorithm", "md5"], spark)
+    return read(spark, out).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation LIMIT 7")
+def cli_take(spark, d):
+    from .cli import main
+
+    out = f"{_scratch(spark)}/t.json"
+    main(["take", "--in", f"{d}/nation.parquet", "--out", out, "-n", "7", "--head"], spark)
+    return read(spark, out, table(spark, d, "nation").schema).select("n_nationkey", "n_name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +13,17 @@ from ..plans.schema import compatible, strip_quotes
 _SUFFIX = {".parquet": "parquet", ".avro": "avro", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".csv": "csv", ".tsv": "csv"}
 
 
+#: Formats that are part of Spark but known to it by a short name only with a package: the class works without.
+_CLASS = {"avro": "org.apache.spark.sql.avro.AvroFileFormat"}
+
+
 def kind_of(path: str) -> str:
     """Format of an input: by suffix (a glob's too), else a table name; anything else is an error."""
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     for suffix, kind in _SUFFIX.items():
         if name.endswith(suffix):
             return kind
-    if "/" not in path and "://" not in path and name.replace("_", "").replace(".", "").replace("`", "").isalnum():
+    if "/" not in path and re.sub(r"[_.`:$-]", "", name).isalnum():
         return "table"
     raise ValueError(f"cannot tell the format of {path!r}: use .parquet, .avro, .json, .csv or a table name")
 
@@ -26,9 +32,9 @@ def read(spark: SparkSession, path: str, schema: T.StructType | None = None, kin
     """A DataFrame over files or a table.  ``where`` reaches the scan."""
     kind = kind or kind_of(path)
     if kind == "table":
-        df = spark.table(path)
+        df = spark.table(table_name(path))
     else:
-        reader = spark.read.format(kind)
+        reader = spark.read.format(_CLASS.get(kind, kind))
         if kind == "csv":
             reader = reader.option("header", True).option("sep", "\t" if path.rstrip("/").endswith(".tsv") else ",")
         df = (reader.schema(schema) if schema is not None else reader).load(path)
@@ -40,6 +46,19 @@ def schema_of(spark: SparkSession, path: str) -> T.StructType:
     return read(spark, path).schema
 
 
+def table_name(spec: str) -> str:
+    """A table's name for the catalog from a specification: [catalog:]database.table, parts quoted where they need it.
+
+    A trailing $decorator, which names a partition, is not part of the name.
+    """
+    found = re.fullmatch(r"(?:(?P<catalog>[^:`]+):)?(?P<rest>[^:$]+)(?:\$\w+)?", spec.strip())
+    if found is None or "`" in spec and ":" in spec:
+        raise ValueError(f"a table is written [catalog:]database.table, not {spec!r}")
+    if found["catalog"] is None:
+        return found["rest"]
+    return ".".join(f"`{p}`" for p in (found["catalog"], *found["rest"].split(".")))
+
+
 def read_pair(spark: SparkSession, left: str, right: str, where: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Two inputs; two Parquet or two Avro inputs are read with the one of their schemas that reads both."""
     kinds = kind_of(left), kind_of(right)
@@ -49,9 +68,12 @@ def read_pair(spark: SparkSession, left: str, right: str, where: str | None = No
     return read(spark, left, where=where), read(spark, right, where=where)
 
 
-def query(spark: SparkSession, text: str) -> DataFrame:
-    """The rows of a SQL query."""
-    return spark.sql(text)
+def query(spark: SparkSession, text: str, into: str | None = None) -> DataFrame:
+    """The rows of a SQL query; with ``into`` they are written to that table, which is new, and read from it."""
+    if into is None:
+        return spark.sql(text)
+    spark.sql(text).write.mode("errorifexists").saveAsTable(table_name(into))
+    return spark.table(table_name(into))
 
 
 def write(df: DataFrame, path: str, kind: str | None = None, partition: str | None = None, by: str = "day") -> None:
@@ -75,7 +97,7 @@ def write(df: DataFrame, path: str, kind: str | None = None, partition: str | No
     elif kind == "csv":
         writer.option("header", True).option("sep", "\t" if path.endswith(".tsv") else ",").csv(path)
     else:
-        writer.format(kind).save(path)
+        writer.format(_CLASS.get(kind, kind)).save(path)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -109,7 +131,7 @@ def write_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Writes unless a finished output is there, and reads it: a rerun costs nothing."""
     if not is_done(spark, path):
         kind = kind_of(path)
-        df.write.mode("overwrite").format(kind).save(path)
+        df.write.mode("overwrite").format(_CLASS.get(kind, kind)).save(path)
     return read(spark, path)
 
 
@@ -151,7 +173,7 @@ def save_stats(result, output: str, mode: str = "text", header: bool = False) ->
         if mode == "table":
             df.write.mode("errorifexists").saveAsTable(f"{output}_{name}")
             continue
-        df = df if name == "keys" else df.coalesce(1)
+        df = df.coalesce(1) if name == "global" else df
         place = f"{output.rstrip('/')}/{name}"
         if header:
             from ..functions.deltas import render
