@@ -3,36 +3,43 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlab.session import ship
+from recordlab.session import shared_dir, ship
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+_owners: list[list[Workspace]] = []
 
-    ``spark.checkpoint.dir`` names it.  Where it is unset a local session gets a temporary folder, and a cluster
-    falls back to its warehouse, which is shared as well.
-    """
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_to:
-        return set_to.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] == "local":
-        return "file://" + os.path.join(tempfile.gettempdir(), f"recordlab-{os.getuid()}")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_recordlab"
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Drops, at its end, the tables that operators called within have written; what is wanted of them is written before."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for space in _owners.pop():
+            space.drop()
 
 
 class Workspace:
-    """Tables of one operator call, in a folder of its own below :func:`shared_dir`."""
+    """Tables of one operator call, in a folder of its own below :func:`shared_dir`.
+
+    Results are lazy and may read them, so they last until the :func:`scratch` block around the call ends, else until
+    the program does.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = ship(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
+        if _owners:
+            _owners[-1].append(self)
+        else:
+            atexit.register(self.drop)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` as Parquet and reads it back, so that a lost executor costs no more than one stage."""
