@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlab.llm import jaccard, lines, mixing, pieces, toxicity
-from recordlab.llm._space import Workspace
+from recordlab.llm._space import Workspace, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -65,9 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; what a stage no longer needs is dropped."""
     space = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), ""
     for name, stage in STAGES:
-        docs = space.put(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = space.put(stage(spark, docs, sf_dir), name)
+        if last:
+            space.drop(last)
+        last = name
     return docs
