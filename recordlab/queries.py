@@ -16,6 +16,7 @@ from .operators.sampling import chernoff_bounds, sample, strata, stratum, top_k_
 from .operators.take import head, head_of_files, reservoir
 from .plans.schema import flatten, from_table_json
 from .session import shared_dir
+from .sources import messages
 from .sources.io import as_tsv, read, read_pair, save_stats, schema_of, timestamp_text, write, write_once
 from .streaming.sampling import sample_stream
 
@@ -560,6 +561,25 @@ def avro_file(spark, d):
     return read(spark, path, schema_of(spark, path)).select("o_orderkey", "r.o_totalprice", "s", F.size("l").alias("n"), F.col("l")[0].alias("first"))
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, c_acctbal AS balance, [c_nationkey, c_custkey]::BIGINT[] AS numbers, c_mktsegment AS segment FROM customer")
+def message_file(spark, d):
+    """Protobuf messages written to Parquet as bytes and decoded by their descriptor, nested ones too."""
+    from google.protobuf import descriptor_pb2
+
+    f = descriptor_pb2.FieldDescriptorProto
+    file = descriptor_pb2.FileDescriptorProto(name="customer.proto", package="example", syntax="proto2")
+    inner, outer = file.message_type.add(name="Place"), file.message_type.add(name="Customer")
+    inner.field.add(name="segment", number=1, type=f.TYPE_STRING, label=f.LABEL_OPTIONAL)
+    for i, (name, kind, label) in enumerate((("id", f.TYPE_INT64, f.LABEL_REQUIRED), ("name", f.TYPE_STRING, f.LABEL_OPTIONAL), ("balance", f.TYPE_DOUBLE, f.LABEL_OPTIONAL), ("numbers", f.TYPE_INT64, f.LABEL_REPEATED))):
+        outer.field.add(name=name, number=i + 1, type=kind, label=label)
+    outer.field.add(name="place", number=9, type=f.TYPE_MESSAGE, type_name=".example.Place", label=f.LABEL_OPTIONAL)
+    descriptors, path, k = descriptor_pb2.FileDescriptorSet(file=[file]).SerializeToString(), f"{_scratch(spark)}/m.parquet", F.col("c_custkey")
+    c = table(spark, d, "customer")
+    rows = c.select(k.alias("id"), F.when(k % 2 == 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("balance"), F.array(F.col("c_nationkey").cast("long"), k).alias("numbers"), F.struct(F.col("c_mktsegment").alias("segment")).alias("place"))
+    write(messages.encode(rows, descriptors, "example.Customer"), path)
+    return messages.decode(read(spark, path), "value", descriptors, "example.Customer").select("id", "name", "balance", "numbers", "place.segment")
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus = 'F'")
 def parquet_file(spark, d):
     """Parquet written once, asked for again, probed and read by a glob with a quoted restriction."""

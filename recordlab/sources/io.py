@@ -1,10 +1,11 @@
-"""Reading and writing: Parquet, JSON lines, Avro, Protobuf, tables and delimited statistics."""
+"""Reading and writing: Parquet, JSON lines, Avro, tables and delimited statistics."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,17 +136,9 @@ def write_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return read(spark, path)
 
 
-def from_protobuf(df: DataFrame, column: str, message: str, descriptor: str) -> DataFrame:
-    """Decodes a binary column of Protobuf messages; needs the spark-protobuf package."""
-    from pyspark.sql.protobuf.functions import from_protobuf as decode
-
-    return df.select(decode(F.col(column), message, descriptor).alias("m")).select("m.*")
-
-
-def to_protobuf(df: DataFrame, message: str, descriptor: str) -> DataFrame:
-    from pyspark.sql.protobuf.functions import to_protobuf as encode
-
-    return df.select(encode(F.struct("*"), message, descriptor).alias("value"))
+def local_rows(df: DataFrame) -> Iterator[Row]:
+    """The rows one by one on the driver, which holds a partition at a time and fetches the next meanwhile."""
+    return df.toLocalIterator(prefetchPartitions=True)
 
 
 def timestamp_text(column: Column) -> Column:

@@ -230,6 +230,16 @@ def test_messages_from_a_descriptor(spark):
     with pytest.raises(ValueError):
         S.from_descriptor(pb.FileDescriptorSet(file=[file]).SerializeToString(), "Unknown")
 
+    from recordlab.sources import messages
+
+    packed = pb.FileDescriptorSet(file=[file]).SerializeToString()
+    given = [(1, 7, "SOME", ["a", "b"], {"t": 1}), (2, None, None, [], {}), (2**40, -5, "NONE", ["é"], {"u": 2, "v": -3})]
+    df = spark.createDataFrame(given, "id long, n int, kind string, names array<string>, tags map<string,int>")
+    binary = messages.encode(df.withColumn("other", F.lit(1)), packed, "p.M")
+    assert sorted(map(tuple, messages.decode(binary, "value", packed, "p.M").collect()), key=repr) == sorted(given, key=repr)
+    assert tuple(messages.decode(spark.createDataFrame([(None,)], "value binary"), "value", packed, "p.M").first()) == (None, None, None, [], {})
+    assert sorted(r.id for r in io.local_rows(df)) == [1, 2, 2**40]
+
 
 def test_strategies_make_rows_that_compare_equal_to_themselves(spark):
     from hypothesis import HealthCheck, given, settings
