@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,36 +18,42 @@ from ._space import Workspace, partitions, row_key
 from ._text import mix, shingle_sets
 from .components import components
 
-#: Least number of sets that makes a shingle frequent, most such shingles (the least number rises to hold it), least count in a batch.
-FREQUENT, MOST, LOCAL = 16, 1_000_000, 2
-#: Postings in a bucket, sets in a piece of a tile, members checked against one copy of a set, bits of the filter of fixed size.
-BUCKET, PIECE, CHUNK, BLOOM = 500_000, 50_000, 64, 1 << 26
+#: Least number of sets that makes a shingle frequent, most such shingles (the least number rises to hold it).
+FREQUENT, MOST = 16, 1_000_000
+#: Postings in a bucket, least number of buckets, sets in a piece of a tile, members checked against one copy of a set, bits of the filter of fixed size.
+BUCKET, BUCKETS, PIECE, CHUNK, BLOOM = 500_000, 256, 50_000, 64, 1 << 26
 #: Rounds, before the pairs across components meet, in which a member meets a few of its tile's largest component; they
 #: are run while a member of a tile would meet so many others on average.
 ROUNDS, SOME, CROWDED = 4, 4, 1000
-#: Members, and shingles of all members, on a side of a cell.
-SIDE, WEIGHT = 256, 1_000_000
-#: Bits of the short name of a set.
-NAME = 64
+#: Members on a side of a cell, fewest and most (a 64th of a group in between); shingles of all members on a side.
+SIDE, SIDES, WEIGHT = 128, 2048, 1_000_000
+#: Bits of the short name of a set beside its last eight, which tell its size: each class of sizes is wider by STEP.
+NAME, STEP = 56, 1.06
 
 
 @dataclass(frozen=True)
 class _Names:
-    """Sets are known by 128 bits, and called by ``bits`` of the first 64, or by what stands for these where several sets
-    share them."""
+    """Sets are known by 128 bits, and called by ``bits`` of these and their class of sizes, or by what stands for that
+    where several sets share it."""
 
     bits: int
     twins: dict[tuple[int, int], int]
 
     def whole(self, tokens: np.ndarray) -> tuple[int, int]:
         h = xxhash.xxh3_128_intdigest(tokens.tobytes())
-        return (h >> (128 - self.bits)) - (1 << self.bits - 1), (h & ((1 << 64) - 1)) - (1 << 63)
+        size = min(255, int(math.log(len(tokens)) / math.log(STEP)))
+        return ((h >> (128 - self.bits)) - (1 << self.bits - 1)) * 256 + size, (h & ((1 << 64) - 1)) - (1 << 63)
 
     def ref(self, tokens: np.ndarray) -> int:
         name = self.whole(tokens)
         return self.twins.get(name, name[0])
 
 
+def _apart(percent: int) -> int:
+    """How far the classes of two sets that link are apart at most."""
+    return int(math.log(100 / percent) / math.log(STEP)) + 1
+
+
 def _bits(tokens: np.ndarray) -> bytes:
     """Parity signature: each bit tells whether an odd number of shingles fell on it."""
     width = min(8192, max(64, 2 << (len(tokens) - 1).bit_length()))
@@ -120,8 +127,12 @@ def _keys(names: _Names, columns: list[str]):
                 seen.setdefault(name, tokens)
             often: list[bytes | None] = [None] * rows
             if seen:
-                tokens, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-                often[0] = np.stack([tokens[counts >= LOCAL].view(np.int64), counts[counts >= LOCAL]]).tobytes()
+                tokens = np.concatenate(list(seen.values()))
+                seen.clear()
+                tokens.sort()
+                again = np.flatnonzero(tokens[1:] == tokens[:-1])  # shingles of one set in the batch are not counted
+                tokens, counts = np.unique(tokens[again], return_counts=True)
+                often[0] = np.stack([tokens.view(np.int64), counts + 1]).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ref, mask=n == 0), pa.array(alt, mask=n == 0), pa.array(bits, pa.binary()), pa.array(often, pa.binary()), *batch.columns[2:]], columns)
 
     return run
@@ -153,7 +164,7 @@ def _postings(buckets: int, frequent, names: _Names, percent: int, piece: int):
         for batch in batches:
             prefixes: list[np.ndarray] = []
             refs: list[int] = []
-            pieces: list[np.ndarray] = []
+            times_of: list[np.ndarray] = []
             for _, tokens in shingle_sets(batch.column(0)):
                 ref = names.ref(tokens)
                 if ref in seen:
@@ -171,39 +182,41 @@ def _postings(buckets: int, frequent, names: _Names, percent: int, piece: int):
                 for band in _bands(n, percent):
                     prefixes.append(tokens[:wanted] ^ mix(np.array([band + 1], np.uint64)))
                     refs.append(ref)
-                    pieces.append(times[:wanted] // piece + 1)
+                    times_of.append(times[:wanted])
             if not refs:
                 continue
             key = np.concatenate(prefixes)
             ref = np.repeat(np.array(refs, np.int64), [len(x) for x in prefixes])
-            split = np.concatenate(pieces)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             rest = (key >> np.uint64(32)).astype(np.uint32)
-            tile = (bucket << 32) | rest.astype(np.int64)
-            part = (mix(ref.view(np.uint64)) % split.astype(np.uint64)).astype(np.int64)
-            bucket = (bucket + part * 7919) % buckets
-            hot = split > 1
-            order = np.lexsort((np.where(hot, tile, -1), bucket))
-            bucket, rest, ref, tile, hot = bucket[order], rest[order], ref[order], tile[order], hot[order]
-            own = np.where(hot, tile, -1)
+            own = np.full(len(key), -1, np.int64)
+            hot = np.flatnonzero(np.concatenate(times_of) >= piece)
+            if len(hot):
+                own[hot] = (bucket[hot] << 32) | rest[hot].astype(np.int64)
+                split = np.concatenate(times_of)[hot] // piece + 1
+                bucket[hot] = (bucket[hot] + (mix(ref[hot].view(np.uint64)) % split.astype(np.uint64)).astype(np.int64) * 7919) % buckets
+            del key, prefixes, times_of
+            order = np.lexsort((own, bucket))
+            bucket, rest, ref, own = bucket[order], rest[order], ref[order], own[order]
             start = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1]))))
             ends = [*start[1:].tolist(), len(bucket)]
             for lo in range(0, len(start), 256):
                 some = range(lo, min(lo + 256, len(start)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(bucket[start[lo : lo + 256]]), pa.array(own[start[lo : lo + 256]]),
-                    pa.array([b"" if hot[start[i]] else rest[start[i] : ends[i]].tobytes() for i in some], pa.binary()),
+                    pa.array([b"" if own[start[i]] >= 0 else rest[start[i] : ends[i]].tobytes() for i in some], pa.binary()),
                     pa.array([ref[start[i] : ends[i]].tobytes() for i in some], pa.binary()),
                 ], ["bucket", "own", "rest", "refs"])
 
     return run
 
 
-TILES = "tile long, ref long, center long, before long, members int, piece boolean"
+TILES = "tile long, ref long, center long, hub long, before long, members int, piece boolean"
 
 
-def _tile(tile: np.ndarray, refs: np.ndarray, piece: bool) -> pa.RecordBatch | None:
-    """Rows of the tiles with two members or more (or of one piece of a tile), each with the smallest and the member before it."""
+def _tile(tile: np.ndarray, refs: np.ndarray, piece: bool, apart: int) -> pa.RecordBatch | None:
+    """Rows of the tiles with two members or more (or of one piece of a tile), each with its tile's smallest member and,
+    where their sizes allow a link, that again as its hub and the member before it; else itself."""
     order = np.lexsort((refs, tile))
     tile, refs = tile[order], refs[order]
     new = np.concatenate(([True], (tile[1:] != tile[:-1]) | (refs[1:] != refs[:-1])))
@@ -220,31 +233,35 @@ def _tile(tile: np.ndarray, refs: np.ndarray, piece: bool) -> pa.RecordBatch | N
     center, before = np.repeat(refs[start], size), np.concatenate((refs[:1], refs[:-1]))
     before[start] = refs[start]
     members = np.repeat(size, size).astype(np.int32)
-    return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (tile, refs, center, before, members)), pa.array(np.full(int(keep.sum()), piece))], ["tile", "ref", "center", "before", "members", "piece"])
+    hub, before = (np.where(np.abs((x & 255) - (refs & 255)) <= apart, x, refs) for x in (center, before))
+    return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (tile, refs, center, hub, before, members)), pa.array(np.full(int(keep.sum()), piece))], ["tile", "ref", "center", "hub", "before", "members", "piece"])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(apart: int):
     """Groups the postings of each bucket, which arrive together, by token."""
-    now, held, hot = None, [], {}
 
-    def close():
-        if held and (out := _tile(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), False)) is not None:
+    def grouped(held: list, hot: dict) -> Iterator[pa.RecordBatch]:
+        if held and (out := _tile(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), False, apart)) is not None:
             yield out
         for tile, refs in hot.items():
             refs = np.concatenate(refs)
-            yield _tile(np.full(len(refs), tile), refs, True)
+            yield _tile(np.full(len(refs), tile), refs, True, apart)
 
-    for batch in batches:
-        for bucket, own, rest, refs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now:
-                yield from close()
-                now, held, hot = bucket, [], {}
-            refs = np.frombuffer(refs, np.int64)
-            if own >= 0:
-                hot.setdefault(own, []).append(refs)
-            else:
-                held.append(((np.int64(bucket) << 32) | np.frombuffer(rest, np.uint32).astype(np.int64), refs))
-    yield from close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, hot = None, [], {}
+        for batch in batches:
+            for bucket, own, rest, refs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from grouped(held, hot)
+                    now, held, hot = bucket, [], {}
+                refs = np.frombuffer(refs, np.int64)
+                if own >= 0:
+                    hot.setdefault(own, []).append(refs)
+                else:
+                    held.append(((np.int64(bucket) << 32) | np.frombuffer(rest, np.uint32).astype(np.int64), refs))
+        yield from grouped(held, hot)
+
+    return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -352,12 +369,13 @@ def _cells(space: Workspace, rows: DataFrame, name: str, more: DataFrame | None
     """
     by_comp = rows.groupBy("center", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     of = by_comp.groupBy("center").agg(F.max(F.struct("c", "comp", "w")).alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w"))
-    sides = lambda c, w: F.greatest(F.lit(1), F.ceil(c / SIDE), F.ceil(w / WEIGHT))
+    side = F.greatest(F.lit(SIDE), F.least(F.lit(SIDES), F.col("c") / 64))
+    sides = lambda c, w: F.greatest(F.lit(1), F.ceil(c / side), F.ceil(w / WEIGHT))
     large = of.where((F.col("c") > 2 * SIDE) | (F.col("w") > 2 * WEIGHT)).select(
         F.col("center").alias("_center"), F.col("main.comp").alias("_main"),
         sides(F.col("main.c"), F.col("main.w")).alias("_mains"), sides(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("_others"),
     )
-    large = space.put(large, f"{name}-large")
+    large = space.put(large, f"{name}-large", True)
     if more is not None:
         rows = rows.hint("merge").join(more, "ref")
     met = rows.join(large, F.col("center") == F.col("_center"), "left")
@@ -401,7 +419,7 @@ def _arrays(bloom, names: _Names):
             refs, sets, size = [], [], 0
             for _, tokens in shingle_sets(batch.column(0)):
                 ref = names.ref(tokens)
-                at = ref & (BLOOM - 1)
+                at = ref >> 8 & (BLOOM - 1)
                 if ref not in seen and int(flags[at >> 6]) >> (at & 63) & 1:
                     seen.add(ref)
                     refs.append(ref)
@@ -418,8 +436,8 @@ def _arrays(bloom, names: _Names):
 
 def _flags(refs: DataFrame):
     """A filter of fixed size that admits the sets that ``refs`` names, and few others."""
-    at = F.col("ref").bitwiseAND(F.lit(BLOOM - 1))
-    words = refs.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((ref & {BLOOM - 1}) & 63 as int))")).alias("m")).toArrow()
+    at = F.shiftright("ref", 8).bitwiseAND(F.lit(BLOOM - 1))
+    words = refs.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(ref, 8) & 63 as int))")).alias("m")).toArrow()
     flags = np.zeros(BLOOM // 64, np.uint64)
     flags[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
     return refs.sparkSession.sparkContext.broadcast(flags)
@@ -431,7 +449,7 @@ def _admitted(bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bloom.value
         for batch in batches:
-            at = batch.column(0).to_numpy() & (BLOOM - 1)
+            at = batch.column(0).to_numpy() >> 8 & (BLOOM - 1)
             yield batch.filter(pa.array((flags[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
     return run
@@ -469,19 +487,19 @@ def _verify(space: Workspace, left: DataFrame, arrays: DataFrame, percent: int,
     many = left.groupBy("a").count().where(F.col("count") > CHUNK)
     parted = left.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1))).alias("part"))
     centers = parted.select(F.col("a").alias("ref"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
-    roles = space.put(centers.unionByName(parted.select(F.col("b").alias("ref"), "a", "part", "b")), f"{name}-roles")
+    roles = space.put(centers.unionByName(parted.select(F.col("b").alias("ref"), "a", "part", "b")), f"{name}-roles", True)
     arrays = arrays.mapInArrow(_admitted(_flags(roles.select("ref"))), arrays.schema)
     met = roles.hint("merge").join(arrays, "ref").select("a", "part", "b", "tokens").repartition(partitions(space.spark), "a", "part").sortWithinPartitions("a", "part", "b")
     return space.put(met.mapInArrow(_checked(percent), "a long, b long"), f"{name}-links")
 
 
 def _renamed(keys: DataFrame, reps: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """Keys in which different sets that share their first 64 bits have different names, and these names.
+    """Keys in which different sets that share their short names have different ones, and these names.
 
-    Of N sets about N * N / 2 ** 65 share them: three of ten billion.
+    Of N sets that all are of one size about N * N / 2 ** 57 share them: some hundreds of ten billion.
     """
     shared = reps.where("least <> most").select("ref", "least")
-    rows = keys.select("ref", "alt").join(shared, "ref").where("alt <> least").distinct().withColumn("name", F.xxhash64("ref", "alt")).collect()
+    rows = keys.select("ref", "alt").join(shared, "ref").where("alt <> least").distinct().withColumn("name", F.expr("(xxhash64(ref, alt) & -256) | (ref & 255)")).collect()
     twins = {(r.ref, r.alt): r.name for r in rows}
     if twins:
         names = keys.sparkSession.createDataFrame([(*k, v) for k, v in twins.items()], "ref long, alt long, _name long")
@@ -533,7 +551,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keep: tuple[str, ...] =
         reps = sets(keys, "reps-renamed")
     names = _Names(NAME, twins)
     counted = keys.where("often is not null").select("often").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    often = space.put(counted.where(F.col("c") >= FREQUENT), "often")
+    often = space.put(counted.where(F.col("c") >= FREQUENT), "often", True)
     least = FREQUENT  # rises until the shingles that count as frequent are MOST at most, which bounds what is broadcast
     while often.where(F.col("c") >= least).count() > MOST:
         least *= 2
@@ -541,13 +559,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keep: tuple[str, ...] =
     tokens, times = late["token"].to_numpy().view(np.uint64), late["c"].to_numpy()
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], times[order].astype(np.int64)))
-    buckets = int(max(partitions(spark), total.postings // BUCKET))
+    parts = int(max(partitions(spark), total.postings // BUCKET))
+    buckets = max(BUCKETS, 2 * parts)  # several a partition, so that these come out even
     dealt = docs.select("text").mapInArrow(_postings(buckets, frequent, names, percent, PIECE), "bucket long, own long, rest binary, refs binary")
-    tiles = space.put(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles, TILES), "tiles")
+    tiles = space.put(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_tiles(_apart(percent)), TILES), "tiles")
     # The smallest members of a tile's pieces meet the smallest of all.
     tops = tiles.where("piece").groupBy("tile").agg(F.min("center").alias("top"), F.count("*").alias("whole"))
-    tops = space.put(tops, "tops")
-    near = tiles.select(F.explode(F.array("center", "before")).alias("a"), F.col("ref").alias("b"))
+    tops = space.put(tops, "tops", True)
+    near = tiles.select(F.explode(F.array("hub", "before")).alias("a"), F.col("ref").alias("b"))
     near = near.unionByName(tiles.where("piece and ref = center").join(tops, "tile").select(F.col("top").alias("a"), F.col("ref").alias("b")))
     left = _candidates(space, reps, near.where("a <> b").distinct(), percent, "near")
     # Tiles of three members have met all pairs by now.
@@ -563,30 +582,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keep: tuple[str, ...] =
         counts = known.groupBy("tile", "comp").agg(F.count("*").alias("c"))
         size, within = F.sum("c").cast("double"), F.sum(F.col("c").cast("double") * F.col("c"))
         found = counts.groupBy("tile").agg(F.count("*").alias("comps"), size.alias("size"), ((size * size - within) / 2).alias("pairs"), F.max(F.struct("c", "comp"))["comp"].alias("main"))
-        unsettled = space.put(found.where("comps > 1"), f"unsettled{turn}")
+        unsettled = space.put(found.where("comps > 1"), f"unsettled{turn}", True)
         open_ = unsettled.agg(_sum(F.col("size")).alias("rows"), _sum(F.col("pairs")).alias("pairs")).first()
         if turn == ROUNDS or open_.pairs <= CROWDED * open_.rows:
             break
         met = known.join(unsettled.select("tile", "main"), "tile")
         picks = met.where("comp = main").groupBy("tile").agg(F.array(*[F.min_by("ref", F.xxhash64("ref", F.lit(turn * SOME + t))) for t in range(SOME)]).alias("picks"))
-        asked = met.where("comp <> main").join(space.put(picks, f"picks{turn}"), "tile").select(F.explode("picks").alias("a"), F.col("ref").alias("b")).distinct()
+        asked = met.where("comp <> main").join(space.put(picks, f"picks{turn}", True), "tile").select(F.explode("picks").alias("a"), F.col("ref").alias("b")).distinct()
         links = links.unionByName(_verify(space, _candidates(space, reps, asked, percent, f"some{turn}"), arrays, percent, f"some{turn}"))
     signs = reps.select("ref", "n", "bits")
     members = known.join(unsettled.select("tile"), "tile").groupBy("center", "ref", "comp").agg(F.collect_list("tile").alias("tiles")).join(signs, "ref")
-    members = space.put(members.select("center", "ref", "comp", "n", "bits", "tiles"), "members")
-    stirred = space.put(_cells(space, members, "stir").mapInArrow(_stirred(percent), "center long, ref long").distinct(), "stirred")
+    members = space.put(members.select("center", "ref", "comp", "n", "bits", "tiles"), "members", True)
+    stirred = space.put(_cells(space, members, "stir").mapInArrow(_stirred(percent), "center long, ref long").distinct(), "stirred", True)
     last = None
     if not stirred.isEmpty():
         active = space.put(members.join(stirred, ["center", "ref"]), "active")
         once = arrays.mapInArrow(_admitted(_flags(stirred.select("ref"))), arrays.schema).groupBy("ref").agg(F.first("tokens").alias("tokens"))
         dealt = _cells(space, active, "join", once)
-        last = components(space, space.put(dealt.mapInArrow(_joined(percent), "a long, b long").distinct(), "joined"), "last")
+        last = components(space, space.put(dealt.mapInArrow(_joined(percent), "a long, b long").distinct(), "joined", True), "last")
     labelled = reps.select("ref", "rep", "copies").join(comps, "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
     if last is not None:
         labelled = labelled.join(last.select(F.col("node").alias("comp"), F.col("comp").alias("_last")), "comp", "left").withColumn("comp", F.coalesce("_last", "comp")).drop("_last")
     labelled = space.put(labelled, "labelled")
     groups = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
-    final = space.put(labelled.join(space.put(groups, "groups"), "comp").select("ref", "component_id", "comp"), "final")
+    final = space.put(labelled.join(space.put(groups, "groups", True), "comp").select("ref", "component_id", "comp"), "final")
     out = keys.join(final, "ref", "left")
     more = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)] + [F.coalesce("comp", "ref").alias("group")] * group
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
@@ -608,3 +627,18 @@ def one_of_each_group(docs: DataFrame, percent: int = 75) -> DataFrame:
     left = docs.withColumn("_row", row_key("doc_id", digest)).hint("merge").join(space.put(gone, "gone"), F.col("_row") == F.col("_gone"), "left_anti")
     nth = F.row_number().over(W.partitionBy("_row").orderBy(F.lit(0)))  # shares the join's exchange
     return left.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The same for DuckDB, by counting the common shingles of all pairs that have one.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT k, doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+r AS (SELECT min(k) AS k, s, len(s) AS n FROM t WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT k, n, unnest(s) AS h FROM r),
+l AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.h = b.h AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(k, m) AS (SELECT k, k FROM r UNION SELECT e.b, c.m FROM c JOIN e ON c.k = e.a),
+m AS (SELECT k, min(m) AS m FROM c GROUP BY k),
+o AS (SELECT t.k, t.doc_id, len(t.s) AS n, m.m FROM t LEFT JOIN r ON t.s = r.s AND len(t.s) > 0 LEFT JOIN m ON r.k = m.k)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(CASE WHEN m IS NOT NULL THEN min(doc_id) OVER (PARTITION BY m) END, doc_id)::BIGINT AS component_id FROM o
+"""

@@ -86,7 +86,7 @@ def test_near_duplicates_after_linear_rounds(spark, monkeypatch):
     assert got == clusters(docs)
 
 
-@pytest.mark.parametrize("constants", [{"PIECE": 5, "FREQUENT": 3}, {"SIDE": 7}, {"WEIGHT": 900}, {"NAME": 4}])
+@pytest.mark.parametrize("constants", [{"PIECE": 5, "FREQUENT": 3}, {"SIDE": 7}, {"WEIGHT": 900}, {"NAME": 4}, {"STEP": 1.5}])
 def test_near_duplicates_in_pieces_cells_and_with_shared_names(spark, monkeypatch, constants):
     for k, v in constants.items():
         monkeypatch.setattr(jaccard, k, v)
@@ -251,6 +251,18 @@ def test_mixing(spark):
     assert {r.taken for r in mixing.mix_sources(documents(spark, [None, ""])).collect()} == {0}
 
 
+def test_mixing_of_repeated_rows_and_rows_without_ids(spark):
+    r = random.Random(4)
+    texts = [" ".join(["w"] * r.randint(1, 40)) for _ in range(700)]
+    rows = [(None if i % 2 else i % 50, t, r.choice(["a", "b", None])) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:100], "doc_id long, text string, source string")
+    got = sorted(map(repr, mixing.mix_sources(docs).collect()))
+    assert got == sorted(map(repr, mixing.mix_sources(docs.repartition(5)).collect())) and len(got) == 800
+    assert all(0 <= x.taken <= 2 * x.size for x in mixing.mix_sources(docs).collect())
+    near = {x.target: (x.n, x.target) for x in mixing.mix_sources(docs).groupBy("target").sum("taken").withColumnRenamed("sum(taken)", "n").collect()}
+    assert all(abs(n - t) < 0.05 * t for n, t in near.values())
+
+
 def test_highest_quotients(spark):
     from pyspark.sql import functions as F
 
@@ -261,6 +273,20 @@ def test_highest_quotients(spark):
     assert got == {k: sum(q[1] == k for q in quotients) for k in votes}
 
 
+def test_quotients_that_differ_little(spark):
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    # As doubles some of these quotients are equal.
+    votes = {"a": 3 * (2**52 + 1), "b": 2**52 + 2, "c": 2**52 + 1, "d": 3 * 2**52 + 4}
+    for seats in range(1, 12):
+        quotients = sorted((-Fraction(v, 2 * s - 1), k, s) for k, v in votes.items() for s in range(1, 20))[:seats]
+        df = spark.createDataFrame(list(votes.items()), "k string, v long")
+        got = {r.k: r.quota for r in mixing._apportion(df, "v", F.lit(seats), [], [F.col("k")]).collect()}
+        assert got == {k: sum(q[1] == k for q in quotients) for k in votes}, seats
+
+
 # SentencePiece ---------------------------------------------------------------------------------------------------
 
 
@@ -280,6 +306,24 @@ def test_pieces(spark):
     assert pieces.encode(docs.limit(0), path).collect() == []
 
 
+def test_pieces_of_repeated_rows_and_clashing_names(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "one two", 9, "x"), (1, "one two", 9, "x"), (None, "one two", 9, "x"), (2, "a" * 70_000 + " b" * 40_000, 9, "x")]
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, decoded string"), path).collect()
+    assert [r.n_tokens for r in got[:3]] == [2] * 3 and [r.decoded for r in got] == [r[1] for r in rows]
+
+
+def test_pieces_forget_what_later_texts_do_not_use(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        coder = pieces.Pieces(f.read())
+    r = random.Random(1)
+    for i in range(30):
+        texts = [" ".join(["always", *(f"w{r.randrange(10**6)}" for _ in range(8))])]
+        assert coder.encode(texts) == [list(coder.library.encode(texts[0]))]
+        assert len(coder.seen) <= 20 and "always" in coder.seen
+
+
 # WARC ------------------------------------------------------------------------------------------------------------
 
 
@@ -430,6 +474,10 @@ def test_toxicity_edges(spark):
     assert toxicity.remove_toxic(docs, model).columns == docs.columns
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, toxicity.train(docs, none)).collect())
+    rows = [(None, "bad word " * 100_000), (None, "bad word " * 100_000), (1, "good " * 100_000), (1, None)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' score"), model).collect()
+    assert len(got) == 4 and got[0].score == got[1].score > 0.5 and all(r.score < 0.5 for r in got[2:])
+    assert toxicity.score(docs.limit(0), model).collect() == [] and toxicity.remove_toxic(docs.limit(0), model).collect() == []
 
 
 # Quality ---------------------------------------------------------------------------------------------------------
