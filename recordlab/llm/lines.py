@@ -13,7 +13,7 @@ from ._space import Workspace, partitions
 from ._text import LOWER, SPACE, chunks, mix, span_hashes, spans
 
 #: Keys in a shard; least count, and greatest number, of keys whose arrays every task holds itself; bits of the filter of the others.
-SHARD, COMMON, MOST, FILTER = 1_000_000, 1000, 100_000, 1 << 25
+SHARD, COMMON, MOST, FILTER = 1_000_000, 64, 100_000, 1 << 25
 LEVELS = 48
 
 
