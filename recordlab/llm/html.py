@@ -30,7 +30,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
-_PUNCTUATION = re.compile(r"[.,;:!?]")
+_PUNCTUATION, _FIGURE, _CAPITAL = re.compile(r"[.,;:!?]"), re.compile(r"[0-9]"), re.compile(r"(?<![^ ])[A-ZÀ-Þ]")
 
 
 @dataclass(slots=True)
@@ -63,6 +63,8 @@ def next_tag(page: str, at: int, quotes: dict[str, int]) -> tuple[int, int, str,
             at = lt + 1
             continue
         at = name.end()
+        if page.startswith(">", at):
+            return lt, at + 1, "/" * close + name[0].lower(), ""
         while (stop := _STOP.search(page, at)) is not None:
             at, quote = stop.end(), stop[0]
             if quote == ">":
@@ -76,6 +78,10 @@ def next_tag(page: str, at: int, quotes: dict[str, int]) -> tuple[int, int, str,
     return None
 
 
+#: What else an open element counts as; no tag has such a name.
+_KINDS = {tag: (tag, *[" scope"] * (tag in SCOPES), *[" row scope"] * (tag in SCOPES and tag not in ("td", "th")), *[" block"] * (tag in BLOCKS)) for tag in BLOCKS | SCOPES}
+
+
 class _Open:
     """Open elements; finds the innermost of a kind without walking through the others."""
 
@@ -99,9 +105,8 @@ class _Open:
         self.silent += tag in SILENT
 
     @staticmethod
-    def _kinds(tag: str) -> list[str]:
-        # " scope", " row scope" and " block" can't be names of tags.
-        return [tag, *[" scope"] * (tag in SCOPES), *[" row scope"] * (tag in SCOPES and tag not in ("td", "th")), *[" block"] * (tag in BLOCKS)]
+    def _kinds(tag: str) -> tuple[str, ...]:
+        return _KINDS.get(tag) or (tag,)
 
     def pop(self, to: int) -> None:
         while len(self.tags) > to:
@@ -196,13 +201,13 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for b in blocks:
         n = len(b.text)
-        words = b.text.split(" ")
-        own = ["bias", f"size{min(8, n.bit_length())}", f"words{min(7, len(words).bit_length())}", f"link{b.linked * 4 // n}", *b.path, "leaf<" + b.leaf]
+        words = b.text.count(" ") + 1
+        own = ["bias", f"size{min(8, n.bit_length())}", f"words{min(7, words.bit_length())}", f"link{b.linked * 4 // n}", *b.path, "leaf<" + b.leaf]
         if b.text[-1] in ".!?…":
             own.append("stop")
-        own.append(f"points{min(3, 20 * len(_PUNCTUATION.findall(b.text)) // len(words))}")
-        own.append(f"figures{min(3, 8 * sum(map(str.isdigit, b.text)) // n)}")
-        own.append(f"capitals{min(3, 4 * sum(w[0].isupper() for w in words) // len(words))}")
+        own.append(f"points{min(3, 20 * len(_PUNCTUATION.findall(b.text)) // words)}")
+        own.append(f"figures{min(3, 8 * len(_FIGURE.findall(b.text)) // n)}")
+        own.append(f"capitals{min(3, 4 * len(_CAPITAL.findall(b.text)) // words)}")
         out.append(own)
     return out
 
