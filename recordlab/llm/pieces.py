@@ -193,11 +193,11 @@ class Pieces:
                 parts.append(names)
             else:
                 parts.append(text.replace("\n", " \n").split(" "))
-        fresh = set(chain.from_iterable(parts)).difference(self.seen)
+        used = set(chain.from_iterable(parts))
+        fresh = used.difference(self.seen)
         if fresh:
-            if len(self.seen) + len(fresh) > REMEMBERED:
-                self.seen.clear()
-                fresh = set(chain.from_iterable(parts))
+            if len(self.seen) + len(fresh) > REMEMBERED:  # what these texts use as well is what most texts use
+                self.seen = {s: self.seen[s] for s in used.difference(fresh)}
             self.learn(list(fresh))
         get = self.seen.__getitem__
         return [list(chain.from_iterable(map(get, p))) for p in parts]
@@ -235,7 +235,8 @@ def encode(docs: DataFrame, model_path: str, digest: bool = False) -> DataFrame:
     With ``digest`` the last two are ids_sha256 and decoded_sha256, lowercase hex of the ids in decimal joined by
     commas and of the decoded text.  No begin or end ids.  A null or empty text has no ids and decodes to the empty
     text.  The model is read on the driver and sent to the tasks.  Other columns pass through; columns with the names
-    of the results are replaced.  Each segment is merged here and, when a worker first meets it, compared with the
+    of the results are replaced.  Rows that repeat, or have no id, are encoded one by one; an empty table gives an
+    empty result.  Each segment is merged here and, when a worker first meets it, compared with the
     library's encoding within its Arrow batch; a difference is an error.
     """
     with open(model_path, "rb") as f:
