@@ -219,3 +219,16 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     far = named.join(least, "g", "left").withColumn("distance", _distance(x))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
     return far.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "distance", "lang", "source")
+
+
+#: The counts and base rule for DuckDB.
+COUNTS_ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+u AS (SELECT k, i, array_to_string(w[i:i + 4], ' ') AS h FROM w, unnest(range(1, len(w) - 3)) r(i)),
+p AS (SELECT k, count(DISTINCT i + j) AS n FROM (SELECT k, i, count(*) OVER (PARTITION BY k, h) AS c FROM u), unnest(range(5)) o(j) WHERE c > 1 GROUP BY k),
+l AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([len(x) FOR x IN w]), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN l USING (k) LEFT JOIN p USING (k))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""

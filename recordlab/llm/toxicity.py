@@ -246,7 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: fl
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row; only the text is read.  Null and empty texts, and others without
-    words, score at most the rate of toxic rows among the labelled."""
+    words, score at most the rate of toxic rows among the labelled.  Rows that repeat score alike; texts of any length
+    are read whole; an empty table gives an empty result."""
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
     keep = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return keep.mapInArrow(_score(sent), f"doc_id {keep.schema['doc_id'].dataType.simpleString()}, score double")
