@@ -151,6 +151,13 @@ def _bands(n: int, percent: int) -> list[int]:
     return [band, band + 1] if n * 100 // percent >= 4 ** (band + 1) else [band]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _postings(buckets: int, frequent, names: _Names, percent: int, piece: int):
     """Prefixes, in each of their bands: the first tokens of a set, rare ones first, of which two linked sets share one at least.
 
@@ -161,7 +168,7 @@ def _postings(buckets: int, frequent, names: _Names, percent: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, often_by = frequent.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches, 2500):
             prefixes: list[np.ndarray] = []
             refs: list[int] = []
             times_of: list[np.ndarray] = []

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from recordlab.session import ship
 
 #: Segments that a worker remembers, longest segment that is merged in a table, texts that are handled together.
-REMEMBERED, LONGEST, TOGETHER = 400_000, 32, 512
+REMEMBERED, LONGEST, TOGETHER = 150_000, 32, 512
 NEVER = np.iinfo(np.int32).max
 _workers: dict[bytes, Pieces] = {}
 
