@@ -113,20 +113,23 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     """The rows of ``docs`` as a mix of whole documents: each row not at all, or up to ``most`` times.
 
     What :func:`mix_sources` takes of each row is rounded to whole copies, large documents of a shard first; what
-    rounding leaves over or short is carried to the shard's next document, so that the words of a shard, and so those
-    of a source, come within about the size of its smallest documents of what is taken.  Rows without words go; rows
+    rounding leaves over or short is carried to the shard's next document, and no more than the documents that follow
+    can make up for, so that the words of a shard, and so those of a source, come within about the size of its smallest
+    documents of what is taken.  Rows without words go; rows
     equal in doc_id, source and text share what is taken of them; all columns pass through.
     """
     space = Workspace(docs.sparkSession, "mix")
     rows = F.sort_array(F.collect_list(F.struct("size", "draw", "doc_id", "digest", "taken")), asc=False)
-    shards = _mixed(docs, weights, share, most, seed).where("size > 0").groupBy("source", "shard").agg(rows.alias("rows"))
+    shards = _mixed(docs, weights, share, most, seed).where("size > 0").groupBy("source", "shard").agg(rows.alias("rows"), F.sum("taken").alias("taken"), F.sum("size").alias("size"))
 
     def step(acc: Column, x: Column) -> Column:
-        want = acc["carry"] + x["taken"]
-        times = F.least(F.lit(most), F.greatest(F.lit(0), F.floor(want / x["size"] + 0.5))).cast("int")
-        return F.struct((want - times * x["size"]).alias("carry"), F.concat(acc["times"], F.array(times)).alias("times"))
+        want, taken, size = acc["carry"] + x["taken"], acc["taken"] - x["taken"], acc["size"] - x["size"]
+        # No more than the documents that follow can give back, and no less than they can make up for.
+        high, low = F.floor((want + taken) / x["size"]), F.ceil((want + taken - most * size) / x["size"])
+        times = F.least(F.lit(most), F.greatest(F.lit(0), F.least(high, F.greatest(low, F.floor(want / x["size"] + 0.5))))).cast("int")
+        return F.struct((want - times * x["size"]).alias("carry"), taken.alias("taken"), size.alias("size"), F.concat(acc["times"], F.array(times)).alias("times"))
 
-    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<int>").alias("times"))
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.col("taken"), F.col("size"), F.array().cast("array<int>").alias("times"))
     each = shards.withColumn("times", F.aggregate("rows", start, step, lambda acc: acc["times"])).select("source", F.explode(F.arrays_zip("rows", "times")).alias("x"))
     each = each.select("source", "x.rows.doc_id", "x.rows.digest", "x.times").where("times > 0")
     # Of rows that are equal, so many are taken so many times.
