@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ._space import Workspace, partitions, row_key
 from ._text import mix, shingle_sets
+from ._worker import lean
 from .components import components
 
 #: Least number of sets that makes a shingle frequent, most such shingles (the least number rises to hold it).
@@ -112,6 +113,7 @@ def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _keys(names: _Names, columns: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: set[tuple[int, int]] = set()
         for batch in batches:
@@ -138,6 +140,7 @@ def _keys(names: _Names, columns: list[str]):
     return run
 
 
+@lean
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packed in batch.column(0).to_pylist():
@@ -165,6 +168,7 @@ def _postings(buckets: int, frequent, names: _Names, percent: int, piece: int):
     that names the tile.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, often_by = frequent.value
         seen: set[int] = set()
@@ -254,6 +258,7 @@ def _tiles(apart: int):
             refs = np.concatenate(refs)
             yield _tile(np.full(len(refs), tile), refs, True, apart)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, hot = None, [], {}
         for batch in batches:
@@ -336,6 +341,7 @@ class _Cell:
 def _stirred(percent: int):
     """Members of each cell that have a partner in another component whose signature leaves room for a link."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
             cell = _Cell(rows, percent)
@@ -351,6 +357,7 @@ def _stirred(percent: int):
 def _joined(percent: int):
     """Components that an exact link joins; what a cell has joined is not compared again, so it gives fewer rows than members."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
             cell = _Cell(rows, percent)
@@ -405,6 +412,7 @@ def _cells(space: Workspace, rows: DataFrame, name: str, more: DataFrame | None
 def _bounded(percent: int):
     """Pairs whose signatures leave room for enough common shingles."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m, x, y = batch.columns
@@ -419,6 +427,7 @@ def _bounded(percent: int):
 def _arrays(bloom, names: _Names):
     """Sorted arrays of the sets that the filter admits, each once a task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bloom.value
         seen: set[int] = set()
@@ -453,6 +462,7 @@ def _flags(refs: DataFrame):
 def _admitted(bloom):
     """The arrays that the filter admits; the others are not shuffled."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bloom.value
         for batch in batches:
@@ -465,6 +475,7 @@ def _admitted(bloom):
 def _checked(percent: int):
     """Exact check of each member against its centre, which comes first in its chunk."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, center, last = None, np.zeros(0, np.uint64), None
         for batch in batches:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ._space import Workspace, partitions
 from ._text import LOWER, SPACE, chunks, mix, span_hashes, spans
+from ._worker import lean
 
 #: Keys in a shard; least count, and greatest number, of keys whose arrays every task holds itself; bits of the filter of the others.
 SHARD, COMMON, MOST, FILTER = 1_000_000, 64, 100_000, 1 << 25
@@ -96,6 +97,7 @@ class PerfectHash:
 
 
 def _count(min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = [], []
@@ -130,6 +132,7 @@ def _build(min_docs: int):
         levels, rest = table.pack()
         return pa.RecordBatch.from_pylist([{"shard": shard, "levels": levels, "rest": rest, "prints": prints.tobytes(), "counts": counts.tobytes()}])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
@@ -150,6 +153,7 @@ def _build(min_docs: int):
 def _ask(common, shards: int, min_chars: int):
     """A row for each document and key that is not common but that the filter admits, for the shard that knows its count."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *known, admitted = common.value
         for batch in batches:
@@ -176,6 +180,7 @@ def _answer(min_docs: int):
     """Arrays come first in each shard; each key that follows is looked up in them."""
     kind = np.min_scalar_type(min_docs)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table, prints, counts = None, None, None, None
         for batch in batches:
@@ -199,6 +204,7 @@ def _answer(min_docs: int):
 
 
 def _keep(common, min_chars: int, text_at: int, names: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value[:3]
         for batch in batches:

@@ -16,10 +16,11 @@ from pyspark.sql import types as T
 
 from recordlab.session import ship
 
+from ._worker import giving_back, kept
+
 #: Segments that a worker remembers, longest segment that is merged in a table, texts that are handled together.
 REMEMBERED, LONGEST, TOGETHER = 150_000, 32, 512
 NEVER = np.iinfo(np.int32).max
-_workers: dict[bytes, Pieces] = {}
 
 
 class Pieces:
@@ -204,16 +205,13 @@ class Pieces:
 
 
 def _worker(model: bytes) -> Pieces:
-    key = hashlib.sha256(model).digest()
-    if key not in _workers:
-        _workers[key] = Pieces(model)
-    return _workers[key]
+    return kept(("pieces", hashlib.sha256(model).digest()), lambda: Pieces(model))
 
 
 def _run(model, text_at: int, digest: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _worker(model.value)
-        for whole in batches:
+        for whole in giving_back(batches):
             for lo in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(lo, TOGETHER)
                 ids = coder.encode(batch.column(text_at).to_pylist())

@@ -16,6 +16,7 @@ from recordlab.session import ship
 
 from ._space import Workspace
 from ._text import LOWER, chunks, span_hashes, spans
+from ._worker import lean
 
 #: Neutral names of groups, by language; the swaps stay within a language.
 IDENTITY = {
@@ -167,6 +168,7 @@ def _solve(keys: np.ndarray, cells: list[np.ndarray], y: np.ndarray, given: list
 
 
 def _score(model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, weights, bias, empty = model.value.keys, model.value.weights, model.value.bias, model.value.empty
         for batch in batches:
@@ -188,6 +190,7 @@ def is_held_out(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % 5 == 0
 
 
+@lean
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(1).to_numpy()
@@ -200,6 +203,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _placed(keys):
     """Features of each row, and of its swapped sentences before and after, by their places among the chosen ones."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = keys.value
         lists = pa.list_(pa.list_(pa.int32()))

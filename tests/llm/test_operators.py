@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -324,6 +325,35 @@ def test_pieces_forget_what_later_texts_do_not_use(monkeypatch):
         assert len(coder.seen) <= 20 and "always" in coder.seen
 
 
+def anonymous():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", f.read()))) / 1024
+
+
+def test_pieces_leave_workers_to_other_operators():
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = Sent(f.read())
+    r = random.Random(4)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{r.randrange(10**6)}" for _ in range(400)) for _ in range(256)])], ["text"])
+    scored = toxicity._score(Sent(toxicity.fit(["bad word", "good word"] * 20, [1, 0] * 20)))
+    small = batch.slice(0, 1)
+    assert sum(b.num_rows for b in scored(iter([small]))) == 1
+    before = anonymous()
+    encode = pieces._run(model, 0, True, ["text", "n", "ids", "decoded"])
+    first = [b.to_pylist() for b in encode(iter([batch]))]
+    coder = weakref.ref(pieces._worker(model.value))
+    assert pieces._worker(model.value) is coder() and len(coder().seen) > 50_000  # the next task of the stage finds it
+    full = anonymous()
+    assert sum(b.num_rows for b in scored(iter([small]))) == 1
+    assert coder() is None
+    assert full - before > 30 and anonymous() - before < 0.5 * (full - before)
+    assert [b.to_pylist() for b in encode(iter([batch]))] == first
+
+
 # WARC ------------------------------------------------------------------------------------------------------------
 
 
