@@ -30,7 +30,8 @@ except (AttributeError, OSError, TypeError):  # another C library
 
 
 def give_back() -> None:
-    """Returns freed memory to the system, which the C library else holds for the worker's later tasks."""
+    """Returns freed memory to the system, which Arrow and the C library else hold for the worker's later tasks."""
+    pa.default_memory_pool().release_unused()
     if _malloc_trim is not None:
         _malloc_trim(0)
 

@@ -325,6 +325,36 @@ def test_pieces_forget_what_later_texts_do_not_use(monkeypatch):
         assert len(coder.seen) <= 20 and "always" in coder.seen
 
 
+def test_pieces_remember_what_earlier_texts_used_often(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 80)
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        coder = pieces.Pieces(f.read())
+    learned, learn = [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda missing: (learned.extend(missing), learn(missing))[1])
+    often = [[f"{name}{i}é中" for i in range(20)] for name in ("left", "\nright")]
+    for i in range(60):
+        texts = [" ".join([*often[i % 2], *(f"once{i}x{j}" for j in range(15))]).replace(" \n", "\n")]
+        assert coder.encode(texts) == [list(coder.library.encode(texts[0]))]
+        assert len(coder.seen) <= 80
+        if i < 10:
+            learned.clear()
+    assert len(learned) == 50 * 15  # none of those used often
+
+
+def test_pieces_differ_from_the_library():
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        coder = pieces.Pieces(f.read())
+    table = coder.merge_table
+    for broken in ((lambda s: (table(s)[0][::-1], table(s)[1])), (lambda s: (table(s)[0][:-1], table(s)[1] - (np.arange(len(s)) == len(s) - 1)))):
+        coder.merge_table = broken
+        for text in ("several words", "several\nwords", "\n\nexceptionally"):
+            with pytest.raises(RuntimeError, match="the library encodes"):
+                coder.encode([text])
+        assert not coder.seen
+    coder.merge_table = table
+    assert coder.encode(["several\nwords"]) == [coder.library.encode("several\nwords")]
+
+
 def anonymous():
     with open("/proc/self/smaps_rollup") as f:
         return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", f.read()))) / 1024
